@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, sharding, toxicity
+from . import chat, decontam, fingerprint, htmlcut, mixing, neardup, quality, sharding, toxicity, urlfilter
 
 SHARD_BYTES = 32 << 20
 
@@ -19,15 +19,36 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_t(spark, sf_dir, "pages"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcut.extract(_t(spark, sf_dir, "pages"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.train(docs, _t(spark, sf_dir, "labels")))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_t(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "shard", "shard_depth", "doc_bytes", "shard_bytes")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(_t(spark, sf_dir, "conversations"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _t(spark, sf_dir, "labels")))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(_t(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_t(spark, sf_dir, "documents")).selectExpr("id AS doc_id", "class_id", "class_size", "copies", "links")
 
@@ -39,9 +60,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_decontamination, op5_sharding, op7_toxicity, op9_near_duplicates, op10_mixing)
+    own = (op1_decontamination, op2_url_filter, op3_main_text, op4_quality, op5_sharding, op6_chat, op7_toxicity, op8_fingerprints, op9_near_duplicates, op10_mixing)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.oracle(SHARD_BYTES), "op10_mixing": mixing.oracle()}
+    return {"op2_url_filter": urlfilter.oracle(), "op6_chat": chat.oracle(), "op5_sharding": sharding.oracle(SHARD_BYTES), "op10_mixing": mixing.oracle()}
