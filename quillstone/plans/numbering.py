@@ -1,0 +1,22 @@
+"""Global numbering without a global sort in one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .materialize import materialize
+
+
+def running_offset(rows: DataFrame, key: str, amount: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``amount`` over all rows with lesser ``key`` (keys are unique).
+
+    Rows are range-partitioned once; only one total per partition is ordered by a single task.
+    """
+    ranged = rows.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
+    ranged = materialize(ranged)
+    total = ranged.groupBy("__part").agg(F.sum(amount).alias("__sum"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    inner = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("__in", F.coalesce(F.sum(amount).over(inner), F.lit(0))).join(total, "__part").withColumn(name, F.col("__base") + F.col("__in")).drop("__part", "__in", "__base")
