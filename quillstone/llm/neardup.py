@@ -247,16 +247,24 @@ class _Verifier:
         return sure.mapInArrow(exact, "a binary, b binary, far double, link boolean").unionByName(unlike)
 
 
-def _links(active: DataFrame, verify: _Verifier, cfg: NearDupConfig) -> DataFrame:
-    """All links ``(a, b)`` that the buckets ``(bucket, node)`` can show, but for ones within a pivot's own class."""
-    done, first = None, True
+def _links(active: DataFrame, verify: _Verifier, cfg: NearDupConfig, rows: int) -> DataFrame:
+    """All links ``(a, b)`` that the buckets ``(bucket, node)`` can show, but for ones within a pivot's own class.
+
+    After the first round the undecided members are few as a rule: if all their pairs are fewer than
+    ``rows``, they are compared at once; else buckets of at most ``rest`` members are, and larger
+    ones go through another pivot.
+    """
+    done, first, rest = None, True, cfg.rest
     while True:
-        sized = active.join(active.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1"), "bucket")
-        star = sized.where("node != pivot").where(F.lit(True) if first else F.col("m") > cfg.rest)
+        sizes = materialize(active.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1"))
+        if not first and (sizes.agg(F.sum(F.expr("m * (m - 1) DIV 2"))).first()[0] or 0) <= rows:
+            rest = 1 << 62
+        sized = active.join(sizes, "bucket")
+        star = sized.where("node != pivot").where(F.lit(True) if first else F.col("m") > F.lit(rest))
         star = materialize(star.select("bucket", F.col("pivot").alias("a"), F.col("node").alias("b")))  # the pivot is the least
         pairs = star.select("a", "b")
         if not first:
-            few = sized.where(F.col("m") <= cfg.rest).select("bucket", "node")
+            few = sized.where(F.col("m") <= F.lit(rest)).select("bucket", "node")
             pairs = pairs.unionByName(few.toDF("bucket", "a").join(few.toDF("bucket", "b"), "bucket").where("a < b").select("a", "b"))
         pairs = pairs.distinct()
         found = materialize(verify(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")))
@@ -264,9 +272,9 @@ def _links(active: DataFrame, verify: _Verifier, cfg: NearDupConfig) -> DataFram
         near = star.join(done, ["a", "b"]).select("bucket", F.col("b").alias("node"), "far", "link")
         nearest = near.where("not link").groupBy("bucket").agg(F.min("far").alias("nearest"))
         # undecided: members not linked to the pivot, and linked ones that one of those may reach
-        rest = near.join(nearest, "bucket").where((~F.col("link")) | (F.col("far") >= F.col("nearest") - (1.0 - cfg.threshold))).select("bucket", "node")
-        active = materialize(rest.join(rest.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"), "bucket"))
-        first = False
+        left = near.join(nearest, "bucket").where((~F.col("link")) | (F.col("far") >= F.col("nearest") - (1.0 - cfg.threshold))).select("bucket", "node")
+        active = materialize(left.join(left.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"), "bucket"))
+        first, rest = False, rest * (1 if first else 8)
         if active.isEmpty():
             return done.where("link").select("a", "b")
 
@@ -289,7 +297,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     member = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "node")
     busy = member.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     active = materialize(member.join(busy, "bucket").select("bucket", "node"))
-    links = materialize(_links(active, _Verifier(docs, "id", "text", nodes, cfg, df, n), cfg))
+    links = materialize(_links(active, _Verifier(docs, "id", "text", nodes, cfg, df, n), cfg, n))
     component = connected_components(links, "a", "b")
     degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
     known = nodes.select("node", "copies", "least_id").join(component, "node", "left").join(degree, "node", "left")
