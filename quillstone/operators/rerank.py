@@ -52,7 +52,8 @@ def mmr(pool: DataFrame, similarities: DataFrame, k: int, lambda_: float = 0.7)
         out = cands.set_index("chunk_index").loc[chosen].reset_index() if chosen else cands.iloc[:0]
         return pd.DataFrame({"query_id": out["query_id"], "chunk_index": out["chunk_index"], "score": out["score"], "mmr_rank": range(1, len(out) + 1)})
 
-    return p.groupBy("query_id").cogroup(similarities.groupBy("query_id")).applyInPandas(choose, f"query_id {kind['query_id']}, chunk_index {kind['chunk_index']}, score double, mmr_rank int")
+    s = similarities.select(F.col("query_id").alias("sq"), F.col("a").alias("a"), F.col("b").alias("b"), F.col("sim").alias("sim"))
+    return p.groupBy("query_id").cogroup(s.groupBy("sq")).applyInPandas(choose, f"query_id {kind['query_id']}, chunk_index {kind['chunk_index']}, score double, mmr_rank int")
 
 
 def mean_pairwise_similarity(results: DataFrame, similarities: DataFrame) -> DataFrame:

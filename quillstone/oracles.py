@@ -36,7 +36,7 @@ def _content(x: str) -> str:
 
 
 def _top(source: str, k: int, rank: str = "rank") -> str:
-    return f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) AS {rank} FROM {source} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) <= {k}"
+    return f"SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index))::INT AS {rank} FROM {source} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) <= {k}"
 
 
 def _bm25(weights: str) -> str:
@@ -83,9 +83,9 @@ SELECT doc_id, ord + 1, a, coalesce(list_filter(range(e + 1, n), lambda x: p[x +
     "cosine": ("qv postings", _cosine("qv")),
     "b25": ("bm25", _top("bm25", 25)),
     "v25": ("cosine", _top("cosine", 25)),
-    "pool": ("b25 v25", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) AS pool_rank FROM ({_FUSE.format(b='b25', v='v25')})"),
+    "pool": ("b25 v25", f"SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index))::INT AS pool_rank FROM ({_FUSE.format(b='b25', v='v25')})"),
     "found": ("pool chunks", "SELECT query_id, pool_rank AS rank, p.chunk_index, doc_id, chunk_id, text, score, bm25_rank, vector_rank FROM pool p JOIN chunks USING (chunk_index) WHERE pool_rank <= 20"),
-    "ranked": ("found", "SELECT query_id, doc_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY best) AS rank FROM (SELECT query_id, doc_id, min(rank) AS best FROM found GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY best) <= 5"),
+    "ranked": ("found", "SELECT query_id, doc_id AS item, (row_number() OVER (PARTITION BY query_id ORDER BY best))::INT AS rank FROM (SELECT query_id, doc_id, min(rank) AS best FROM found GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY best) <= 5"),
     "gold": (
         "q dsents",
         f"SELECT DISTINCT query_id, doc_id AS item FROM (SELECT query_id, unnest({_sents('question')}) AS sentence FROM q) JOIN (SELECT doc_id, unnest(s) AS sentence FROM dsents) USING (sentence) WHERE len({_tok('sentence')}) > 3",
@@ -115,7 +115,7 @@ SELECT doc_id, ord + 1, a, coalesce(list_filter(range(e + 1, n), lambda x: p[x +
     "xv": ("xw terms", "SELECT query_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY query_id)) AS qw FROM (SELECT query_id, term, weight * idf_tfidf AS raw FROM xw JOIN terms USING (term))"),
     "xb25": ("xw postings", _top(f"({_bm25('xw')})", 25)),
     "xv25": ("xv postings", _top(f"({_cosine('xv')})", 25)),
-    "xpool": ("xb25 xv25", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) AS pool_rank FROM ({_FUSE.format(b='xb25', v='xv25')})"),
+    "xpool": ("xb25 xv25", f"SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index))::INT AS pool_rank FROM ({_FUSE.format(b='xb25', v='xv25')})"),
     "res": ("found", "SELECT * FROM found WHERE rank <= 4"),
     "tw": (
         "q res",
@@ -243,6 +243,10 @@ def oracle_sql() -> dict[str, str]:
         "faithfulness_mean": ("SELECT " + ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {c}" for c in ("sentence_grounding", "token_grounding", "citation_precision", "citation_recall")) + " FROM faith", "faith"),
         "cited_gold": ("SELECT query_id, bool_or(g.item IS NOT NULL)::INT AS cited_gold FROM (SELECT query_id, unnest(cites) AS item FROM uniq UNION ALL SELECT query_id, NULL FROM uniq) LEFT JOIN gold g USING (query_id, item) GROUP BY ALL", "uniq gold"),
         "weakest_answers": ("SELECT query_id, round(token_grounding, 9) AS token_grounding FROM faith ORDER BY round(token_grounding, 9), query_id LIMIT 3", "faith"),
+        "fingerprint": (
+            "SELECT sha256(concat_ws('|', count(*)::VARCHAR, " + ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR, '')" for i in range(8)) + ", '120', '30')) AS fingerprint FROM (SELECT sha256('d' || length(doc_id) || ':' || doc_id || text) AS h FROM docs)",
+            "docs",
+        ),
         "build_index": ("SELECT count(*) AS postings, count(DISTINCT term) AS terms, sum(tf)::BIGINT AS tokens FROM tf", "tf"),
     }
     return {name: build(tail, needs) for name, (tail, needs) in made.items()}
