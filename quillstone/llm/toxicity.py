@@ -136,12 +136,18 @@ def fit_arrays(row: np.ndarray, col: np.ndarray, y: np.ndarray, swap_row: np.nda
     """
     n = len(y)
     w, b = np.zeros(width), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
-    per_row = np.bincount(row, minlength=n)
-    # step: one over a bound on the curvature
-    curve = 0.25 * max(1.0, float(np.sqrt((per_row**2).mean()) * 4)) + cfg.l2
-    if swaps:
-        curve += 2 * cfg.swap * float((np.bincount(swap_row, weights=swap_value**2, minlength=swaps)).max())
-    vw, vb, pw, pb, rate = w.copy(), b, w.copy(), b, 1.0 / curve
+    # step: one over the greatest curvature, by power iteration
+    v, curve = np.ones(width + 1) / np.sqrt(width + 1), 1.0
+    for _ in range(30):
+        xv = (np.bincount(row, weights=v[col], minlength=n) + v[-1]) * (0.25 / n)
+        u = np.append(np.bincount(col, weights=xv[row], minlength=width), xv.sum())
+        if swaps:
+            d = np.bincount(swap_row, weights=swap_value * v[swap_col], minlength=swaps)
+            u[:-1] += np.bincount(swap_col, weights=(2 * cfg.swap / swaps) * d[swap_row] * swap_value, minlength=width)
+        curve = float(np.linalg.norm(u))
+        v = u / curve
+    rate = 1.0 / (1.1 * curve + cfg.l2)
+    vw, vb, pw, pb = w.copy(), b, w.copy(), b
     for t in range(cfg.steps):
         p = 1.0 / (1.0 + np.exp(-np.clip(np.bincount(row, weights=vw[col], minlength=n) + vb, -30, 30)))
         g = (p - y) / n
@@ -149,7 +155,7 @@ def fit_arrays(row: np.ndarray, col: np.ndarray, y: np.ndarray, swap_row: np.nda
         if swaps:
             d = np.bincount(swap_row, weights=swap_value * vw[swap_col], minlength=swaps)
             gw += np.bincount(swap_col, weights=(2 * cfg.swap / swaps) * d[swap_row] * swap_value, minlength=width)
-        w, b = vw - rate * 8 * gw, vb - rate * 8 * g.sum()
+        w, b = vw - rate * gw, vb - rate * g.sum()
         m = t / (t + 3.0)
         vw, vb = w + m * (w - pw), b + m * (b - pb)
         pw, pb = w, b
