@@ -64,13 +64,13 @@ def shard(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text
     open_ = d
     out = None
     for at in [r[0] for r in done.select("at").distinct().orderBy("at").collect()]:  # one or two depths as a rule, 12 at most
-        here = done.where(F.col("at") == at).select(F.col("cell").alias("__sh_cell"), "shard_depth", "prefix", "shard_bytes")
+        here = done.where(F.col("at") == at).select(F.col("cell").alias("__sh_cell"), "shard_depth", F.col("prefix").alias("__sh_prefix"), "shard_bytes")
         key = F.shiftright("__sh_h", BITS - at)
         joined = open_.withColumn("__sh_cell", key).join(here, "__sh_cell").drop("__sh_cell")
         out = joined if out is None else out.unionByName(joined)
     if out is None:
-        out = d.select("*", F.lit(0).alias("shard_depth"), F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("shard_bytes"))
-    bits = F.when(F.col("shard_depth") == 0, F.lit("")).otherwise(F.expr("lpad(conv(cast(prefix as string), 10, 2), shard_depth, '0')"))
+        out = d.select("*", F.lit(0).alias("shard_depth"), F.lit(0).cast("bigint").alias("__sh_prefix"), F.lit(0).cast("bigint").alias("shard_bytes"))
+    bits = F.when(F.col("shard_depth") == 0, F.lit("")).otherwise(F.expr("lpad(conv(cast(__sh_prefix as string), 10, 2), shard_depth, '0')"))
     over = done.where(F.col("shard_bytes") > limit)
     names = [*[F.col(f"`{c}`") for c in own]]
     tail = [F.col("shard"), F.col("shard_depth").cast("int").alias("shard_depth"), "doc_bytes", "shard_bytes"]
@@ -88,7 +88,8 @@ def shard(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text
     part = F.floor((F.col("__sh_n") + F.col("__sh_o") - 1) / F.col("__sh_e")) + 1
     count = F.floor(F.col("shard_bytes") / F.greatest(F.col("doc_bytes"), F.lit(1)))
     last = count - (part - 1) * F.col("__sh_e")
-    same = same.withColumn("shard_bytes", F.least(F.col("__sh_e"), last) * F.col("doc_bytes")).withColumn("shard", F.when(count > F.col("__sh_e"), F.concat("shard", F.lit("-"), part.cast("bigint").cast("string"))).otherwise(F.col("shard")))
+    same = same.withColumn("shard", F.when(count > F.col("__sh_e"), F.concat("shard", F.lit("-"), part.cast("bigint").cast("string"))).otherwise(F.col("shard")))
+    same = same.withColumn("shard_bytes", F.least(F.col("__sh_e"), last) * F.col("doc_bytes"))
     return fit.unionByName(same.select(*names, *tail))
 
 
