@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textbuf as tb
 
@@ -37,7 +38,7 @@ class LeakConfig:
     min_words: int = 3
     positions: int = 3
     walks: int = 6
-    max_tables: int = 96
+    max_tables: int = 240
     block_bytes: int = 32 << 20
     seed: int = 7
 
@@ -81,7 +82,7 @@ class LeakIndex:
 
     def _calibrate(self, g: np.random.RandomState) -> None:
         """Least number of tables that finds the target share of items after as many edits as allowed."""
-        items = [self.items[i] for i in g.permutation(len(self.items))[:400]]
+        items = [self.items[i] for i in g.randint(len(self.items), size=1000)]
         edited = []
         for x in items:
             y = list(x)
@@ -274,7 +275,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     items each give their own lines; an empty benchmark or table gives no lines.
     """
     ds, bs = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-    kind = pa.int64() if bs == "bigint" else None
+    kind = to_arrow_type(benchmark.schema[item_id].dataType)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = None
     for index in leak_indexes(benchmark, item_id, item_text, cfg):
