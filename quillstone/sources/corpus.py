@@ -23,6 +23,10 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.{md,txt,MD,TXT,Md,mD,Txt,tXt,txT,TXt,TxT,tXT}").load(path)
     named = raw.select(F.col("_metadata.file_name").alias("name"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
     named = named.select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("name"), "text").where(F.lower("name").rlike(r"\.(md|txt)$"))
+    # Spark's listing passes over files without bytes; they are documents with an empty text
+    blank = [(f.getPath().getName(), "") for f in fs.listStatus(folder) if f.isFile() and f.getLen() == 0 and f.getPath().getName().lower().endswith(EXTENSIONS)]
+    if blank:
+        named = named.unionByName(spark.createDataFrame(blank, "name string, text string"))
     docs = named.groupBy(F.regexp_replace("name", r"\.[^.]*$", "").alias("doc_id")).agg(F.max_by("text", "name").alias("text"))
     if docs.isEmpty():
         raise ValueError(f"no .md or .txt documents found in {path}")
