@@ -90,6 +90,17 @@ SELECT doc_id, ord + 1, a, coalesce(list_filter(range(e + 1, n), lambda x: p[x +
         "q dsents",
         f"SELECT DISTINCT query_id, doc_id AS item FROM (SELECT query_id, unnest({_sents('question')}) AS sentence FROM q) JOIN (SELECT doc_id, unnest(s) AS sentence FROM dsents) USING (sentence) WHERE len({_tok('sentence')}) > 3",
     ),
+    "ranked3": (
+        "pool b25 v25 chunks",
+        "SELECT method, query_id, doc_id AS item, row_number() OVER (PARTITION BY method, query_id ORDER BY min(r)) AS rank FROM (SELECT 'hybrid' AS method, query_id, chunk_index, pool_rank AS r FROM pool UNION ALL SELECT 'bm25', query_id, chunk_index, rank FROM b25 UNION ALL SELECT 'vector', query_id, chunk_index, rank FROM v25) JOIN chunks USING (chunk_index) WHERE r <= 20 GROUP BY method, query_id, doc_id QUALIFY row_number() OVER (PARTITION BY method, query_id ORDER BY min(r)) <= 5",
+    ),
+    "slices": (
+        "ranked3 gold q ks",
+        """SELECT method, query_id, k, CASE WHEN length(question) < 200 THEN 'short' ELSE 'long' END AS difficulty, coalesce(hit, 0) AS hit, coalesce(found / g.n, 0) AS recall, coalesce(precision, 0) AS precision, coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(k, g.n) + 1) t(i)), 0) AS ndcg, coalesce(1.0::DOUBLE / f.best, 0) AS rr
+FROM q CROSS JOIN ks CROSS JOIN (SELECT unnest(['hybrid', 'bm25', 'vector']) AS method) LEFT JOIN (SELECT query_id, count(*) AS n FROM gold GROUP BY ALL) g USING (query_id)
+LEFT JOIN (SELECT method, query_id, k, max(y) AS hit, sum(y)::DOUBLE AS found, avg(y) AS precision, sum(y / log2(rank + 1)) AS dcg FROM (SELECT r.*, (g.item IS NOT NULL)::INT AS y FROM ranked3 r LEFT JOIN gold g USING (query_id, item)) JOIN ks ON rank <= k GROUP BY ALL) USING (method, query_id, k)
+LEFT JOIN (SELECT method, query_id, min(rank) AS best FROM ranked3 JOIN gold USING (query_id, item) GROUP BY ALL) f USING (method, query_id)""",
+    ),
     "ks": ("", "SELECT unnest([1, 3, 5])::INT AS k"),
     "judged": ("ranked gold ks q", "SELECT query_id, k, r.item, r.rank, g.item IS NOT NULL AS rel FROM q CROSS JOIN ks LEFT JOIN ranked r USING (query_id) LEFT JOIN gold g USING (query_id, item) WHERE r.rank IS NULL OR r.rank <= k"),
     "metrics": (
@@ -237,6 +248,10 @@ def oracle_sql() -> dict[str, str]:
         "ndcg_at_k": ("SELECT query_id, k, round(ndcg, 6)::DOUBLE AS ndcg FROM ndcg", "ndcg"),
         "ndcg_graded": ("SELECT query_id, k, round(ndcg, 6)::DOUBLE AS ndcg FROM ndcg2", "ndcg2"),
         "mrr": ("SELECT query_id, round(rr, 6)::DOUBLE AS rr FROM rr", "rr"),
+        "metric_slices": (
+            "SELECT coalesce(difficulty, 'all') AS slice, k, count(*) AS queries, " + ", ".join(f"round(avg({c}), 6)::DOUBLE AS {n}" for c, n in (("hit", "hit"), ("recall", "recall"), ("precision", "precision"), ("ndcg", "ndcg"), ("rr", "mrr"))) + ", method FROM slices GROUP BY GROUPING SETS ((method, k), (method, k, difficulty))",
+            "slices",
+        ),
         "misses_partials": ("SELECT query_id, CASE WHEN hit = 0 THEN 'miss' ELSE 'partial' END AS outcome FROM metrics WHERE k = 5 AND recall < 1 AND query_id IN (SELECT query_id FROM gold)", "metrics gold"),
         "supporting_docs": ("SELECT query_id, pos, doc_id FROM support", "support"),
         "faithfulness": ("SELECT query_id, round(sentence_grounding, 9) AS sentence_grounding, round(token_grounding, 9) AS token_grounding, round(citation_precision, 9) AS citation_precision, round(citation_recall, 9) AS citation_recall FROM faith", "faith"),

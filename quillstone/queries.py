@@ -6,7 +6,7 @@ it holds one of the item's sentences of four tokens or more.  Gains: labels.qual
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -340,7 +340,7 @@ def q_fingerprint(spark, d):
 
 def q_index_roundtrip(spark, d):
     s = setup(spark, d)
-    path = tempfile.mktemp(prefix="index-", dir=shared_folder(spark).removeprefix("file://"))
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     s.engine.save(path)
     return _list(Engine.load(spark, path).search(s.queries, K))
 
