@@ -5,23 +5,32 @@ A lost executor then costs a re-read of Parquet, never a re-run of what came bef
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback: dict[str, str] = {}
+_local: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where that is unset: the warehouse on a cluster, a temporary folder in a local session.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quillstone"
     app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = tempfile.mkdtemp(prefix="quillstone-")
-    return _fallback[app]
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="quillstone-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return _local[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -29,4 +38,15 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables this session has written, and say how many; results read from them end with them."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(paths)
