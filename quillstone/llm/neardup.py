@@ -40,7 +40,7 @@ class NearDupConfig:
 
     threshold: float = 0.55
     width: int = 2
-    bands: int = 20
+    bands: int = 28
     rows: int = 4
     df_bits: int = 20
     rest: int = 24

@@ -53,7 +53,7 @@ class ToxicityConfig:
 
     bits: int = 18
     sample: int = 24_000
-    z: float = 4.0
+    z: float = 3.0
     least: int = 5
     l2: float = 5e-5
     swap: float = 5.0
