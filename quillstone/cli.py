@@ -9,26 +9,24 @@ import time
 from .engine import Engine, EngineConfig
 from .operators.answer import ModelAnswerer, formatted
 from .operators.expansion import ExpansionConfig
+from .operators.search import HYBRID, METHODS
 from .session import local_session
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quillstone", description=__doc__)
     p.add_argument("--corpus", default="corpus", help="folder of .md and .txt files")
-    p.add_argument("--chunk-tokens", type=int, default=120)
-    p.add_argument("--overlap-tokens", type=int, default=30)
-    p.add_argument("--rrf-k", type=int)
+    for name, kind, value in (("chunk-tokens", int, 120), ("overlap-tokens", int, 30), ("rrf-k", int, None), ("expand-docs", int, 5), ("expand-weight", float, 0.8)):
+        p.add_argument(f"--{name}", type=kind, default=value)
     p.add_argument("--index", help="saved index to use instead of building one")
     p.add_argument("--mmr", type=float, metavar="LAMBDA")
     p.add_argument("--expand", type=int, metavar="TERMS")
-    p.add_argument("--expand-docs", type=int, default=5)
-    p.add_argument("--expand-weight", type=float, default=0.8)
     sub = p.add_subparsers(dest="verb", required=True)
     for verb in ("search", "ask"):
         s = sub.add_parser(verb)
         s.add_argument("question")
         s.add_argument("-k", type=int, default=5 if verb == "search" else 4)
-        s.add_argument("--method", choices=("hybrid", "bm25", "vector"), default="hybrid")
+        s.add_argument("--method", choices=METHODS, default=HYBRID)
         if verb == "ask":
             s.add_argument("--llm", action="store_true")
     sub.add_parser("index").add_argument("output")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from .operators.chunking import check_sizes, chunk
 from .operators.expansion import ExpansionConfig, expand
 from .operators.index import Index, build_index
 from .operators.rerank import mean_pairwise_similarity, mmr, pool_similarities
+from .plans.limits import least, share
 from .plans.materialize import materialize
 from .sources import store
 from .sources.corpus import read_corpus
@@ -20,19 +21,19 @@ from .sources.corpus import read_corpus
 
 @dataclass(frozen=True)
 class EngineConfig:
-    target_tokens: int = 120
-    overlap_tokens: int = 30
-    rrf_k: int = 60
-    candidates: int = 25
+    """Chunk sizes in tokens, the constant of the fusion, candidates per retriever, and what is off unless set."""
+
+    target_tokens: int = field(default=120)
+    overlap_tokens: int = field(default=30)
+    rrf_k: int = field(default=60)
+    candidates: int = field(default=25)
     mmr_lambda: float | None = None
     expansion: ExpansionConfig | None = None
 
     def __post_init__(self) -> None:
         check_sizes(self.target_tokens, self.overlap_tokens)
-        if self.rrf_k <= 0:
-            raise ValueError("rrf_k must be positive")
-        if self.mmr_lambda is not None and not 0 <= self.mmr_lambda <= 1:
-            raise ValueError("mmr_lambda must be in [0, 1]")
+        least("rrf_k", self.rrf_k, 1)
+        share("mmr_lambda", self.mmr_lambda)
 
 
 class Engine:
@@ -76,7 +77,7 @@ class Engine:
             b, v = rs.bm25_scores(self.index, weights), rs.vector_scores(self.index, rs.weighted_vectors(self.index, weights))
         return rs.pool(self.index, method, size, self.config.rrf_k, b, v)
 
-    def expansion_model(self, queries: DataFrame, method: str = "hybrid", candidates: int = 25, expansion: ExpansionConfig | None = None) -> DataFrame:
+    def expansion_model(self, queries: DataFrame, method: str = rs.HYBRID, candidates: int = 25, expansion: ExpansionConfig | None = None) -> DataFrame:
         """``(query_id, term, weight)`` after one feedback pass; no rows where expansion is off."""
         e = expansion or self.config.expansion
         terms = rs.query_terms(queries)
@@ -84,7 +85,7 @@ class Engine:
             return terms.select("query_id", "term", F.lit(0.0).alias("weight")).where("false")
         return expand(self.index, terms, self._pool(queries, method, max(candidates, e.feedback_docs)), e).select("query_id", "term", "weight")
 
-    def search(self, queries: DataFrame, k: int = 5, method: str = "hybrid", mmr_lambda: float | None = None, expansion: ExpansionConfig | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 5, method: str = rs.HYBRID, mmr_lambda: float | None = None, expansion: ExpansionConfig | None = None) -> DataFrame:
         """``(query_id, rank, chunk_index, doc_id, chunk_id, text, score, method, bm25_rank, vector_rank, mmr_rank, components)``.
 
         Settings left None are the engine's own.  Queries without tokens or matches give no rows.
@@ -115,7 +116,7 @@ class Engine:
             "query_id", "rank", "chunk_index", "doc_id", "chunk_id", "text", "score", F.lit(method).alias("method"), "bm25_rank", "vector_rank", "mmr_rank", rs.components(method, self.config.rrf_k).alias("components")
         )
 
-    def ranked_doc_ids(self, queries: DataFrame, k: int = 5, method: str = "hybrid", **settings) -> DataFrame:
+    def ranked_doc_ids(self, queries: DataFrame, k: int = 5, method: str = rs.HYBRID, **settings) -> DataFrame:
         """``(query_id, doc_id, rank)`` of the first k documents among the best 4k chunks."""
         return rs.ranked_docs(self.search(queries, 4 * k, method, **settings), k)
 

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode text knows it; Java's own class is ASCII only.
 WS = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-TOKEN = "[a-z0-9]+(?:['-][a-z0-9]+)*"
-HEADING = "[ \\t]{0,3}#{1,6}[ \\t]+[^\\n]*"
+_RUN, _GAP = "[0-9a-z]+", "[\\t ]"
+TOKEN = f"{_RUN}(?:[-']{_RUN})*"
+HEADING = _GAP + "{0,3}" + "#{1,6}" + _GAP + "+[^\\n]*"
 PARAGRAPH = f"\\n[{WS}]*\\n"
-BOUNDARY = f"(?<=[.!?])[{WS}]+(?=[\"'(\\[]?[A-Z0-9])"
+_OPENING = "[(\\['\"]"
+BOUNDARY = f"(?<=[?!.])[{WS}]+(?={_OPENING}?[0-9A-Z])"
 
+#: Ordered by their ends.
 STOP_WORDS = tuple(
-    "a an and are as at be been but by can did do does for from had has have how i if in into is it its "
-    "of on or that the their then there these this to was were what when where which who why will with you your".split()
+    "a had did and be the are there where were these have if of which with i will from an can been then when in "
+    "on do who to into their or for your as has was does is this its at that what it but you how by why".split()
 )
 
 

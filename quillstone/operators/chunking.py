@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
+from quillstone.plans.limits import least
 from quillstone.plans.materialize import materialize
 from quillstone.plans.numbering import running_offset
 
@@ -38,10 +39,9 @@ def spans(counts: Column, target: int, overlap: int) -> Column:
 
 
 def check_sizes(target: int, overlap: int) -> None:
-    if target <= 0:
-        raise ValueError("target_tokens must be positive")
-    if not 0 <= overlap < target:
-        raise ValueError("overlap_tokens must be in [0, target_tokens)")
+    least("target_tokens", target, 1)
+    least("overlap_tokens", overlap, 0)
+    least("target_tokens", target, overlap + 1)
 
 
 def chunk(documents: DataFrame, target: int = 120, overlap: int = 30) -> DataFrame:

@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import STOP_WORDS
+from quillstone.plans.limits import least, share
 
 from .index import Index
 
 
 @dataclass(frozen=True)
 class ExpansionConfig:
-    feedback_docs: int = 5
-    feedback_terms: int = 10
-    original_weight: float = 0.6
+    """Results fed back, terms borrowed from them at most, and the share that the question itself keeps."""
+
+    feedback_docs: int = field(default=5)
+    feedback_terms: int = field(default=10)
+    original_weight: float = field(default=0.6)
 
     def __post_init__(self) -> None:
-        if self.feedback_docs <= 0:
-            raise ValueError("feedback_docs must be positive")
-        if self.feedback_terms < 0:
-            raise ValueError("feedback_terms must not be negative")
-        if not 0 <= self.original_weight <= 1:
-            raise ValueError("original_weight must be in [0, 1]")
+        least("feedback_docs", self.feedback_docs, 1)
+        least("feedback_terms", self.feedback_terms, 0)
+        share("original_weight", self.original_weight)
 
 
 def feedback_weights(feedback: DataFrame) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as tx
 
 
+MEASURES = tuple(f"{what}_{how}" for what, how in (("sentence", "grounding"), ("token", "grounding"), ("citation", "precision"), ("citation", "recall")))
+
+
 def answer_sentences(answers: DataFrame) -> DataFrame:
     return answers.select("query_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -52,8 +55,7 @@ def report(answers: DataFrame, passages: DataFrame) -> DataFrame:
 
 def mean_report(reports: DataFrame) -> DataFrame:
     """One row: the mean of each measure, 0 without answers."""
-    names = ("sentence_grounding", "token_grounding", "citation_precision", "citation_recall")
-    return reports.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in names])
+    return reports.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in MEASURES])
 
 
 def cited_gold(answers: DataFrame, gold: DataFrame) -> DataFrame:

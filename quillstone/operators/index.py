@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
+from quillstone.plans.limits import least, share
 from quillstone.plans.materialize import materialize
 
 
@@ -18,10 +19,8 @@ class IndexConfig:
     sublinear_tf: bool = True
 
     def __post_init__(self) -> None:
-        if self.k1 < 0:
-            raise ValueError("k1 must be non-negative")
-        if not 0 <= self.b <= 1:
-            raise ValueError("b must be in [0, 1]")
+        least("k1", self.k1, 0)
+        share("b", self.b)
 
 
 @dataclass(frozen=True)

@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Numbers of results that are looked at.
+CUTS = (1, 3, 5)
+
+
 def _judged(ranked: DataFrame, gold: DataFrame) -> DataFrame:
     g = gold.select("query_id", "item").distinct().withColumn("rel", F.lit(1))
     return ranked.join(g, ["query_id", "item"], "left").select("query_id", "item", "rank", F.coalesce("rel", F.lit(0)).alias("rel"))
 
 
-def per_query(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
+def per_query(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = CUTS) -> DataFrame:
     """``(query_id, k, hit, recall, precision)``; precision divides by the results there are."""
     q = queries.select("query_id").distinct().select("query_id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     j = _judged(ranked, gold).select("query_id", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"), "item", "rank", "rel").where("rank <= k")
@@ -26,7 +30,7 @@ def per_query(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: Sequen
     return q.join(a, ["query_id", "k"], "left").join(n, "query_id", "left").select("query_id", "k", F.coalesce(F.col("hit").cast("double"), z).alias("hit"), F.coalesce(F.col("found") / F.col("gold"), z).alias("recall"), F.coalesce("precision", z).alias("precision"))
 
 
-def ndcg(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (1, 3, 5), gains: DataFrame | None = None) -> DataFrame:
+def ndcg(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = CUTS, gains: DataFrame | None = None) -> DataFrame:
     """``(query_id, k, ndcg)``.  ``gains(query_id, item, gain)`` override gold and extend the ideal.
 
     A repeated item is credited where it first occurs, but its repeats keep their places.
@@ -52,7 +56,7 @@ def reciprocal_rank(queries: DataFrame, ranked: DataFrame, gold: DataFrame) -> D
     return queries.select("query_id").distinct().join(r, "query_id", "left").select("query_id", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("rr"))
 
 
-def aggregate(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = (1, 3, 5), by: Sequence[str] = ()) -> DataFrame:
+def aggregate(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = CUTS, by: Sequence[str] = ()) -> DataFrame:
     """``(slice, k, queries, hit, recall, precision, ndcg, mrr)``: means over all queries, and over those of each ``by``."""
     m = per_query(queries, ranked, gold, ks).join(ndcg(queries, ranked, gold, ks), ["query_id", "k"]).join(reciprocal_rank(queries, ranked, gold), "query_id")
     m = m.join(queries.select("query_id", *by), "query_id")

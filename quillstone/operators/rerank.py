@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.plans.limits import share
+
 from .index import Index
 from .search import PLACES
 
@@ -32,8 +34,7 @@ def mmr(pool: DataFrame, similarities: DataFrame, k: int, lambda_: float = 0.7)
     query's greedy loop is a small group; ties keep the pool's order; pairs without a row in
     ``similarities(query_id, a, b, sim)`` have similarity 0.
     """
-    if not 0 <= lambda_ <= 1:
-        raise ValueError("lambda_ must be in [0, 1]")
+    share("lambda_", lambda_)
     p = normalize_scores(pool.select("query_id", "chunk_index", "score", "pool_rank"))
     kind = dict(pool.dtypes)
 

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
+from quillstone.plans.limits import least
 
 from .index import Index
 
-METHODS = ("hybrid", "bm25", "vector")
+HYBRID = "hybrid"
+METHODS = (HYBRID, "bm25", "vector")
 #: Scores are compared after rounding to so many places, since sums of doubles depend on their order.
 PLACES = 10
 
@@ -77,8 +79,7 @@ def pairwise_similarity(index: Index, pairs: DataFrame) -> DataFrame:
 
 def fuse(bm25: DataFrame, vector: DataFrame, rrf_k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion: ``(query_id, chunk_index, score, bm25_rank, vector_rank)``."""
-    if rrf_k <= 0:
-        raise ValueError("rrf_k must be positive")
+    least("rrf_k", rrf_k, 1)
     b = bm25.select("query_id", "chunk_index", F.col("rank").alias("bm25_rank"))
     v = vector.select("query_id", "chunk_index", F.col("rank").alias("vector_rank"))
     part = lambda r: F.coalesce(1.0 / (F.lit(float(rrf_k)) + F.col(r)), F.lit(0.0))
@@ -94,7 +95,7 @@ def pool(index: Index, method: str, size: int, rrf_k: int, bm25: DataFrame, vect
         raise ValueError(f"method must be one of {METHODS}")
     b, v = top(bm25, size), top(vector, size)
     p = fuse(b, v, rrf_k)
-    if method != "hybrid":
+    if method != HYBRID:
         own = (b if method == "bm25" else v).select("query_id", "chunk_index", F.col("score").alias("own"))
         p = p.join(own, ["query_id", "chunk_index"]).withColumn("score", F.col("own")).drop("own")
     return top(p, 2 * size, rank="pool_rank")
@@ -102,7 +103,7 @@ def pool(index: Index, method: str, size: int, rrf_k: int, bm25: DataFrame, vect
 
 def components(method: str, rrf_k: int) -> Column:
     """Map of the parts of a score."""
-    if method != "hybrid":
+    if method != HYBRID:
         return F.create_map(F.lit(method), F.col("score"))
     part = lambda r: F.coalesce(1.0 / (F.lit(float(rrf_k)) + F.col(r)), F.lit(0.0))
     return F.create_map(F.lit("bm25_rrf"), part("bm25_rank"), F.lit("vector_rrf"), part("vector_rank"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .functions.text import STOP_WORDS
+from .operators.faithfulness import MEASURES
 from .queries import HEADINGS
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_TOKEN = "[a-z0-9]+(?:[''-][a-z0-9]+)*"
-_HEAD = r"[ \t]{0,3}#{1,6}[ \t]+[^\n]*"
+_RUN, _GAP = "[0-9a-z]+", r"[\t ]"
+_TOKEN = f"{_RUN}(?:[-'']{_RUN})*"
+_HEAD = _GAP + "{0,3}" + "#{1,6}" + _GAP + r"+[^\n]*"
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 _MARK = "chr(57344)"
 
@@ -255,7 +257,7 @@ def oracle_sql() -> dict[str, str]:
         "misses_partials": ("SELECT query_id, CASE WHEN hit = 0 THEN 'miss' ELSE 'partial' END AS outcome FROM metrics WHERE k = 5 AND recall < 1 AND query_id IN (SELECT query_id FROM gold)", "metrics gold"),
         "supporting_docs": ("SELECT query_id, pos, doc_id FROM support", "support"),
         "faithfulness": ("SELECT query_id, round(sentence_grounding, 9) AS sentence_grounding, round(token_grounding, 9) AS token_grounding, round(citation_precision, 9) AS citation_precision, round(citation_recall, 9) AS citation_recall FROM faith", "faith"),
-        "faithfulness_mean": ("SELECT " + ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {c}" for c in ("sentence_grounding", "token_grounding", "citation_precision", "citation_recall")) + " FROM faith", "faith"),
+        "faithfulness_mean": ("SELECT " + ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {c}" for c in MEASURES) + " FROM faith", "faith"),
         "cited_gold": ("SELECT query_id, bool_or(g.item IS NOT NULL)::INT AS cited_gold FROM (SELECT query_id, unnest(cites) AS item FROM uniq UNION ALL SELECT query_id, NULL FROM uniq) LEFT JOIN gold g USING (query_id, item) GROUP BY ALL", "uniq gold"),
         "weakest_answers": ("SELECT query_id, round(token_grounding, 9) AS token_grounding FROM faith ORDER BY round(token_grounding, 9), query_id LIMIT 3", "faith"),
         "fingerprint": (

@@ -20,7 +20,7 @@ class IndexFormatError(ValueError):
 
 
 class StaleIndexError(ValueError):
-    """The index was made from other documents or chunk sizes."""
+    """Documents or chunk sizes are others than those the tables were made from."""
 
 
 def fingerprint(documents: DataFrame, target: int, overlap: int) -> str:
@@ -50,7 +50,7 @@ def save(path: str, documents: DataFrame, index: Index, config: dict) -> None:
     for name in TABLES:
         tables[name].write.parquet(f"{staging}/{name}")
     n = index.chunks.count()
-    manifest = {"format": FORMAT, "version": VERSION, "fingerprint": fingerprint(documents, config["target_tokens"], config["overlap_tokens"]), "config": config, "index": asdict(index.config), "chunks": n, "schemas": {t: tables[t].schema.jsonValue() for t in TABLES}}
+    manifest = {"config": config, "format": FORMAT, "fingerprint": fingerprint(documents, config["target_tokens"], config["overlap_tokens"]), "version": VERSION, "index": asdict(index.config), "chunks": n, "schemas": {t: tables[t].schema.jsonValue() for t in TABLES}}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{staging}/manifest")
     _, there = _fs(spark, staging)
     if fs.exists(final):

@@ -89,10 +89,10 @@ def test_chunks_are_numbered_in_order(spark):
     assert all(r.token_count == len(re.findall(r"[a-z0-9]+", r.text.lower())) for r in rows)
 
 
-@pytest.mark.parametrize("target,overlap", [(0, 0), (10, 10), (10, -1)])
-def test_sizes_are_checked(spark, target, overlap):
+@pytest.mark.parametrize("sizes", [(10, -1), (0, 0), (10, 10)])
+def test_sizes_are_checked(spark, sizes):
     with pytest.raises(ValueError):
-        chunk(spark.createDataFrame([("a", "b")], "doc_id string, text string"), target, overlap)
+        chunk(spark.createDataFrame([("a", "b")], "doc_id string, text string"), *sizes)
 
 
 def test_streamed_chunks_are_the_batch_ones(spark, tmp_path):
