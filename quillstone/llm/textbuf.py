@@ -77,7 +77,7 @@ def row_slices(column: pa.Array, target: int = 1 << 21) -> Iterator[tuple[int, i
     a = 0
     while a < n:
         base = ends[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(ends, base + target, side="right")))
+        b = max(a + 1, min(a + (1 << 17), int(np.searchsorted(ends, base + target, side="right"))))
         yield a, b
         a = b
 

@@ -171,7 +171,7 @@ def test_main_text():
     assert htmlcut.main_text(None) == htmlcut.main_text("") == htmlcut.main_text("<html></html>") == htmlcut.main_text("<nav>a b c</nav>") == ""
     body = "Plain text without any markup at all, but long enough to be a paragraph of prose, is what it says."
     assert htmlcut.main_text(body) == body
-    assert len(htmlcut.main_text("<article>" + "<p>word, and more words.</p>" * 3000)) == 3000 * 22 - 1 + 0 * 1
+    assert len(htmlcut.main_text("<article>" + "<p>word, and more words.</p>" * 3000)) == 3000 * 22 - 1
 
 
 def test_pages_all_give_their_article(spark, sf):
@@ -467,7 +467,6 @@ def test_mix_is_the_sql(spark, duck, same, sf):
 
 def test_mix_in_blocks_is_the_same(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    assert sorted(mixing.mixed_sizes(d, cfg=mixing.MixConfig(block_rows=1)).collect()) == sorted(mixing.mixed_sizes(d).collect()) or True
     a, b = (mixing.mixed_sizes(d, cfg=c).toPandas().sort_values("doc_id").reset_index(drop=True) for c in (mixing.MixConfig(block_rows=1), mixing.MixConfig()))
     assert a.equals(b)
     by = a.merge(d.select("doc_id", "source").toPandas(), on="doc_id").groupby("source", dropna=False)
@@ -491,8 +490,7 @@ def test_positions_invert_the_schedule(spark):
 
 def test_mix_rows_and_odd(spark, odd, none):
     got = mixing.mixed_sizes(odd).toPandas()
-    text = {(r.doc_id, r.text) for r in odd.collect()}
-    assert Counter(got["size"]) == Counter(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in odd.collect()) and text
+    assert Counter(got["size"]) == Counter(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in odd.collect())
     out = mixing.mix(odd)
     assert out.columns == odd.columns and out.count() == int(got.passes.sum())
     assert mixing.mixed_sizes(none).count() == mixing.mix(none).count() == 0
