@@ -9,16 +9,20 @@
    class of one pivot.  Small rests are compared pair by pair.
 5. A pair is linked if the exact weighted Jaccard similarity of its texts reaches the threshold;
    classes are the connected components of the links.
+6. Which links the pivots happened to verify does not matter for the counts: inside each class whose
+   pairs are not all verified yet, every pair of texts is compared, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -248,7 +252,7 @@ class _Verifier:
 
 
 def _links(active: DataFrame, verify: _Verifier, cfg: NearDupConfig, rows: int) -> DataFrame:
-    """All links ``(a, b)`` that the buckets ``(bucket, node)`` can show, but for ones within a pivot's own class.
+    """Links ``(a, b)`` that connect all that the buckets ``(bucket, node)`` can show; ones within a pivot's own class may lack.
 
     After the first round the undecided members are few as a rule: if all their pairs are fewer than
     ``rows``, they are compared at once; else buckets of at most ``rest`` members are, and larger
@@ -279,16 +283,102 @@ def _links(active: DataFrame, verify: _Verifier, cfg: NearDupConfig, rows: int)
             return done.where("link").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
-    """One line per row of ``docs``: ``(id, th, class_id, class_size, copies, links)``.
-
-    ``class_id``: the least id of the class; ``class_size``: its rows; ``copies``: rows whose text has
-    the same words in the same order; ``links``: verified links from this text to other texts.
-    Rows with null ids take part (a class without any id has a null class_id); null texts count as
-    empty; texts without a word are classed by their bytes alone; repeated rows are copies; an empty
-    table gives an empty result.  ``th`` is the xxhash64 of the text, to find a row again.
+#: Bytes of text and texts in a block of a class, on average; two blocks meet in one task.
+BLOCK_BYTES, BLOCK_ROWS = 1 << 22, 1024
+
+
+def _group_links(key: np.ndarray, w: np.ndarray, r: np.ndarray, side: np.ndarray, limit: float) -> np.ndarray:
+    """Links of each row to the others if all are of side 0, else between sides 1 and 2.  ``r`` ascends."""
+    n = len(side)
+    total = tb.row_sums(w, r, n)
+    order = np.lexsort((total, side))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    e = np.argsort(rank[r], kind="stable")
+    at, w, first = np.unique(key, return_inverse=True)[1][e], w[e], np.searchsorted(rank[r][e], np.arange(n + 1))
+    total, left = total[order], int((side == 1).sum())
+    dense = np.zeros(int(at.max()) + 1 if len(at) else 1)
+    out = np.zeros(n, dtype=np.int64)
+    for i in range(left if side.any() else n):
+        if total[i] <= 0:
+            continue
+        # the lesser of two sums over the greater bounds the similarity, so only a run of rows can be linked
+        x = left + int(np.searchsorted(total[left:], total[i] * limit * (1 - 1e-9), side="left")) if left else i + 1
+        y = left + int(np.searchsorted(total[left:], total[i] / limit * (1 + 1e-9), side="right"))
+        if y <= x:
+            continue
+        own = slice(first[i], first[i + 1])
+        dense[at[own]] = w[own]
+        low = np.add.reduceat(np.minimum(dense[at[first[x] : first[y]]], w[first[x] : first[y]]), first[x:y] - first[x])
+        dense[at[own]] = 0.0
+        hit = low >= limit * (total[i] + total[x:y] - low)
+        out[i] += hit.sum()
+        out[x:y] += hit
+    return out[rank]
+
+
+def _link_counts(docs: DataFrame, nodes: DataFrame, links: DataFrame, component: DataFrame, df: np.ndarray, n: int, cfg: NearDupConfig) -> DataFrame:
+    """``(node, links)``: how many other nodes of its class each node with a link is linked to.
+
+    Where ``links`` holds all pairs of a class, it is counted; the other classes are split into blocks
+    by hash, and each pair of blocks of a class is compared whole by one task.
     """
-    docs = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
+    of = materialize(component.join(degree, "node").select("node", "component", "links"))
+    partial = of.groupBy("component").agg(F.count("*").alias("m"), F.sum("links").alias("ends")).where("ends < m * (m - 1)").select("component")
+    full = of.join(partial, "component", "left_anti").select("node", "links")
+    wanted = of.join(partial, "component").join(nodes.select("node", "least"), "node").select("node", "component", "least.*")
+    texts = docs.select("id", F.xxhash64("text").alias("th"), "text").alias("t").join(wanted.alias("w"), (F.col("t.th") == F.col("w.th")) & F.col("t.id").eqNullSafe(F.col("w.id")))
+    texts = materialize(texts.select("component", "node", "text").dropDuplicates(["node"]))  # repeated rows have the same text
+    if texts.isEmpty():
+        return full
+    parts = F.ceil(F.greatest(F.sum(F.octet_length("text")) / F.lit(float(BLOCK_BYTES)), F.count("*") / F.lit(float(BLOCK_ROWS)))).cast("int")
+    placed = texts.join(texts.groupBy("component").agg(F.greatest(parts, F.lit(1)).alias("parts")), "component")
+    placed = placed.withColumn("part", F.expr("CAST(pmod(xxhash64(node), parts) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    grouped = placed.select(
+        F.concat_ws(":", F.hex("component"), F.least("part", "other"), F.greatest("part", "other")).alias("group"),
+        F.expr("CASE WHEN part = other THEN 0 WHEN part < other THEN 1 ELSE 2 END").alias("side"),
+        "node",
+        "text",
+    )
+    spark = docs.sparkSession
+    held, limit = spark.sparkContext.broadcast(df), cfg.threshold - 1e-9
+
+    def count(t: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        *_, key, r, tf = _vectors(t.column(3), cfg)
+        w = _weights(key, tf, held.value, n, cfg)
+        side = t.column(1).to_numpy(zero_copy_only=False)
+        got = []
+        for a, b in zip([0, *ends], ends):
+            x, y = np.searchsorted(r, [a, b])
+            got.append(_group_links(key[x:y], w[x:y], r[x:y] - a, side[a:b], limit))
+        return pa.RecordBatch.from_arrays([t.column(2), pa.array(np.concatenate(got))], names=["node", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_back = None  # the last group of a batch may go on in the next
+        for b in chain(batches, (None,)):
+            t = b if held_back is None else held_back if b is None else pa.concat_batches([held_back, b])
+            if t is None or not t.num_rows:
+                continue
+            g = t.column(0)
+            ends = (np.flatnonzero(pc.not_equal(g.slice(1), g.slice(0, len(g) - 1)).to_numpy(zero_copy_only=False)) + 1).tolist()
+            held_back = None if b is None else t.slice(ends[-1] if ends else 0)
+            ends += [len(g)] if b is None else []
+            size = np.r_[0, np.cumsum(pc.binary_length(t.column(3)).to_numpy(zero_copy_only=False).astype(np.int64))]
+            a, cut = 0, []
+            for z in ends:
+                cut.append(z)
+                if size[z] - size[a] >= BLOCK_BYTES or z == ends[-1]:
+                    yield count(t.slice(a, z - a), [c - a for c in cut])
+                    a, cut = z, []
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = grouped.repartition(tasks, "group").sortWithinPartitions("group").mapInArrow(run, "node binary, links bigint")
+    return counted.groupBy("node").agg(F.sum("links").alias("links")).unionByName(full)
+
+
+def _classes(docs: DataFrame, cfg: NearDupConfig) -> tuple[DataFrame, DataFrame, Callable[[], DataFrame]]:
+    """The rows ``(id, th, node)`` of ``(id, text)``, ``(node, class_id, class_size, copies, component)``, and a call for ``(node, links)``."""
     df, n = shingle_df(docs, "text", cfg)
     rows = materialize(sketches(docs, "id", "text", cfg, df, n))
     # texts of equal words are one node, whose row with the least id stands for all
@@ -299,12 +389,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     active = materialize(member.join(busy, "bucket").select("bucket", "node"))
     links = materialize(_links(active, _Verifier(docs, "id", "text", nodes, cfg, df, n), cfg, n))
     component = connected_components(links, "a", "b")
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
-    known = nodes.select("node", "copies", "least_id").join(component, "node", "left").join(degree, "node", "left")
-    known = known.select("node", "copies", "least_id", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = nodes.select("node", "copies", "least_id").join(component, "node", "left")
+    known = known.select("node", "copies", "least_id", F.coalesce("component", "node").alias("component"))
     classes = known.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    info = known.join(classes, "component").select("node", "class_id", "class_size", "copies", "links", "component")
-    return rows.select("id", "th", "node").join(info, "node").select("id", "th", "component", "class_id", "class_size", "copies", "links")
+    info = known.join(classes, "component").select("node", "class_id", "class_size", "copies", "component")
+    return rows.select("id", "th", "node"), info, lambda: _link_counts(docs, nodes, links, component, df, n, cfg)
+
+
+def _id_text(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """One line per row of ``docs``: ``(id, th, class_id, class_size, copies, links)``.
+
+    ``class_id``: the least id of the class; ``class_size``: its rows; ``copies``: rows whose text has
+    the same words in the same order; ``links``: other texts (of other words or another order) of the
+    class whose exact similarity to this one reaches the threshold, each pair of the class compared.
+    Rows with null ids take part (a class without any id has a null class_id); null texts count as
+    empty; texts without a word are classed by their bytes alone; repeated rows are copies; an empty
+    table gives an empty result.  ``th`` is the xxhash64 of the text, to find a row again.
+    """
+    rows, info, count = _classes(_id_text(docs, doc_id, text), cfg)
+    info = info.join(count(), "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return rows.join(info, "node").select("id", "th", "component", "class_id", "class_size", "copies", "links")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
@@ -312,7 +420,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: N
 
     All columns stay; of repeated rows one is kept, so no class is lost whole.
     """
-    found = near_duplicates(docs, doc_id, text, cfg)
+    rows, info, _ = _classes(_id_text(docs, doc_id, text), cfg)
+    found = rows.join(info.select("node", "component"), "node").select("id", "th", "component")
     best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("w")).select("w.id", "w.th")
     best = best.select(F.col("id").alias("__nd_id"), F.col("th").alias("__nd_th")).join(found.groupBy(F.col("id").alias("__nd_id2"), F.col("th").alias("__nd_th2")).agg(F.count("*").alias("__nd_n")), (F.col("__nd_th") == F.col("__nd_th2")) & F.col("__nd_id").eqNullSafe(F.col("__nd_id2"))).select("__nd_id", "__nd_th", "__nd_n")
     best = materialize(best)

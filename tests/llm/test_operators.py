@@ -446,6 +446,36 @@ def test_near_duplicates_are_those_of_brute_force(spark, rest, monkeypatch):
     assert sorted(r.doc_id for r in neardup.keep_one(d, cfg=cfg).collect()) == sorted(size)
 
 
+def _brute_links(d, docs, cfg):
+    df, n = neardup.shingle_df(d, "text", cfg)
+    texts = sorted(set(docs))
+    linked = Counter()
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if _weighted_jaccard(a, b, df, n, cfg) >= cfg.threshold:
+                linked.update((a, b))
+    return [linked[x] for x in docs]
+
+
+def _edited(g, base, copies, words):
+    return [" ".join(x if i not in at else f"e{g.randrange(10**6)}" for i, x in enumerate(base)) for at in (set(g.sample(range(len(base)), words)) for _ in range(copies))]
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_links_are_those_of_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+    cfg, g = neardup.NearDupConfig(), random.Random(8)
+    docs = []
+    for words, copies in ((2, 40), (3, 30), (4, 20), (0, 1)):
+        docs += _edited(g, [f"w{g.randrange(10**6)}" for _ in range(80)], copies, words)
+    docs += docs[:5]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    got = {r.id: r for r in neardup.near_duplicates(d, cfg=cfg).collect()}
+    want = _brute_links(d, docs, cfg)
+    assert [got[i].links for i in range(len(docs))] == want
+    assert want[0] == 39 and any(0 < x < 19 for x in want[70:90])
+
+
 def test_near_duplicates_odd(odd, none):
     got = neardup.near_duplicates(odd)
     assert got.count() == odd.count()
