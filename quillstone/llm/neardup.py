@@ -405,7 +405,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     ``class_id``: the least id of the class; ``class_size``: its rows; ``copies``: rows whose text has
     the same words in the same order; ``links``: other texts (of other words or another order) of the
-    class whose exact similarity to this one reaches the threshold, each pair of the class compared.
+    class whose exact similarity to this one reaches the threshold, each pair of the class compared,
+    whichever way the buckets were decided and whatever else the table holds but for the shingle weights.
     Rows with null ids take part (a class without any id has a null class_id); null texts count as
     empty; texts without a word are classed by their bytes alone; repeated rows are copies; an empty
     table gives an empty result.  ``th`` is the xxhash64 of the text, to find a row again.

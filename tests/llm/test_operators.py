@@ -476,6 +476,20 @@ def test_links_are_those_of_brute_force(spark, block, monkeypatch):
     assert want[0] == 39 and any(0 < x < 19 for x in want[70:90])
 
 
+def test_links_do_not_depend_on_unrelated_rows(spark, monkeypatch):
+    # equal weights for all shingles: the frequencies of a larger corpus would move similarities as well
+    monkeypatch.setattr(neardup, "shingle_df", lambda docs, text, cfg: (np.zeros(1 << cfg.df_bits, dtype=np.int32), docs.count()))
+    cfg, g = neardup.NearDupConfig(rest=2), random.Random(9)
+    base = [f"w{g.randrange(10**6)}" for _ in range(80)]
+    docs = [x for words in (4, 5, 6, 7) for x in _edited(g, base, 15, words)]
+    want = _brute_links(spark.createDataFrame([(x,) for x in docs], "text string"), docs, cfg)
+    assert any(0 < x < 59 for x in want)
+    for more in (0, 4000):
+        rows = docs + [f"lone{i} a{i * 7} b{i * 13}" for i in range(more)]
+        got = {r.id: r.links for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"), cfg=cfg).collect()}
+        assert [got[i] for i in range(len(rows))] == want + [0] * more, more
+
+
 def test_near_duplicates_odd(odd, none):
     got = neardup.near_duplicates(odd)
     assert got.count() == odd.count()
