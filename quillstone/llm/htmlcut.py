@@ -38,11 +38,19 @@ _VOID = frozenset("br hr img input link meta area base col embed source track wb
 _ENDS_P = _BLOCK - frozenset(("br", "input", "label", "button", "link", "meta", "option"))
 _OUT = frozenset("nav footer aside form button select menu dialog fieldset label option legend search head input".split())
 _BAD = re.compile(
-    r"(?:^|[\W_])(?:ads?|adv|adverts?|advertisements?|advertising|adbox|adslot|banners?|sponsor\w*|promos?|promotion\w*|sidebar\w*|side|rail|menus?|nav|navbar|navigation|breadcrumbs?|footers?|foot|masthead|topbar|"
+    r"(?:ads?|adv|adverts?|advertisements?|advertising|adbox|adslot|banners?|sponsor\w*|promos?|promotion\w*|sidebar\w*|side|rail|menus?|nav|navbar|navigation|breadcrumbs?|footers?|foot|masthead|topbar|"
     r"comments?|commentlist|respond|replies|reply|discussion|disqus|cookies?|consent|gdpr|notices?|alerts?|warning|popups?|modal|overlay|toast|shar(?:e|ing)|social|related|recommend\w*|more-?(?:news|stories)|"
-    r"widgets?|login|signin|signup|subscribe|subscription|newsletter|search|toolbar|pager|pagination|tags?|tagcloud|copyright|legal|disclaimer|skip\w*|hidden|sr-only|byline|meta)(?:$|[\W_])",
+    r"widgets?|login|signin|signup|subscribe|subscription|newsletter|search|toolbar|pager|pagination|tags?|tagcloud|copyright|legal|disclaimer|skip\w*|hidden|sr-only|byline|meta)",
     re.I,
 )
+#: Parts that may stand beside a bad one in a name: "site-footer" is one, "tag-politics", "has-sidebar" and "overflow-hidden" are not.
+_PLAIN = re.compile(
+    r"\d*|site|page|main|post|posts|entry|article|global|top|bottom|left|right|primary|secondary|upper|lower|first|last|visually|"
+    r"list|box|bar|block|section|area|zone|slot|unit|wrap|wrapper|container|inner|outer|content|body|item|items|links?|buttons?|icons?|group|panel|row|col|column|form|title|header|head|text|thread|author|cloud|data|info|policy",
+    re.I,
+)
+#: Names of things that often are marked up as articles themselves.
+_CARD = re.compile(r"ads?|adv|adverts?|advertisements?|sponsor\w*|promos?|comments?|commentlist|reply|replies|discussion|related|recommend\w*", re.I)
 _HEADER = re.compile(r"(?:^|[\W_])(?:header|head|site-title|logo|brand)(?:$|[\W_])", re.I)
 _GOOD = re.compile(r"(?:^|[\W_])(?:article\w*|content|contents|entry|post|posts|story|text|body|main|hentry|prose)(?:$|[\W_])", re.I)
 _ROLES_OUT = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -69,16 +77,33 @@ class CutConfig:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "prior", "depth", "good")
+    """``named``: what its name adds unless it holds all articles of the page; ``aside``: no article of the page is in it."""
+
+    __slots__ = ("tag", "parent", "prior", "depth", "good", "named", "aside", "held", "mains")
 
-    def __init__(self, tag: str, parent: _Node | None, prior: float, good: bool):
-        self.tag, self.parent, self.prior, self.good = tag, parent, prior, good
+    def __init__(self, tag: str, parent: _Node | None, prior: float, good: bool, named: float = 0.0, aside: bool = False):
+        self.tag, self.parent, self.prior, self.good, self.named = tag, parent, prior, good, named
         self.depth = parent.depth + 1 if parent else 0
+        self.aside = aside or (parent is not None and parent.aside)
+        self.held, self.mains = 0, parent.mains + (parent.tag == "main" and not parent.aside) if parent else 0
+
+
+def _bad_name(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names boilerplate, and whether such as is marked up as articles."""
+    bad = card = False
+    for token in value.split():
+        parts = [p for p in re.split(r"[-_]+", token) if p]
+        hits = [p for p in parts if _BAD.fullmatch(p)]
+        if _BAD.fullmatch(token) or (hits and all(p in hits or _PLAIN.fullmatch(p) for p in parts)):
+            bad = True
+            card = card or any(_CARD.fullmatch(p) for p in parts)
+    return bad, card
 
 
-def _prior(tag: str, attrs: str, parent: _Node, cfg: CutConfig) -> tuple[float, bool]:
-    """What an element adds to the log-odds of all text within it, and whether it marks an article."""
+def _prior(tag: str, attrs: str, parent: _Node, cfg: CutConfig) -> tuple[float, bool, float, bool]:
+    """What an element adds to the log-odds of all text within it, whether it marks an article, ``named`` and ``aside``."""
     x, good = 0.0, tag in ("article", "main")
+    article, named, aside = good, 0.0, False
     if tag in _OUT:
         x += cfg.outside
     elif tag == "header":
@@ -87,8 +112,12 @@ def _prior(tag: str, attrs: str, parent: _Node, cfg: CutConfig) -> tuple[float,
         for m in _ATTR.finditer(attrs):
             key, v = m[1].lower(), (m[2] or "").strip("\"'")
             if key in ("class", "id"):
-                if _BAD.search(v):
+                bad, card = _bad_name(v)
+                if card:
                     x += cfg.named
+                    aside = True
+                elif bad and not article:
+                    named += cfg.named
                 elif _GOOD.search(v):
                     good = True
                 elif _HEADER.search(v) and not parent.good:
@@ -107,7 +136,7 @@ def _prior(tag: str, attrs: str, parent: _Node, cfg: CutConfig) -> tuple[float,
                 x += cfg.outside
     if good and not parent.good:
         x += cfg.article if tag in ("article", "main") else cfg.good_name
-    return x, good or parent.good
+    return x, good or parent.good, named, aside or x <= cfg.outside
 
 
 def blocks(html: str, cfg: CutConfig = CutConfig()) -> list[tuple[str, int, _Node]]:
@@ -119,6 +148,8 @@ def blocks(html: str, cfg: CutConfig = CutConfig()) -> list[tuple[str, int, _Nod
     links: list[str] = []
     anchor = 0
     home: list[_Node] = [root]
+    elements: list[_Node] = []
+    articles = 0
 
     def flush() -> None:
         nonlocal parts, links
@@ -172,10 +203,16 @@ def blocks(html: str, cfg: CutConfig = CutConfig()) -> list[tuple[str, int, _Nod
         if tag in _VOID or (m[4] or "").endswith("/"):
             continue
         if tag in _BLOCK or m[4]:
-            prior, good = _prior(tag, m[4], stack[-1], cfg)
-            stack.append(_Node(tag, stack[-1], stack[-1].prior + prior, good))
+            stack.append(_Node(tag, stack[-1], *_prior(tag, m[4], stack[-1], cfg)))
+            elements.append(stack[-1])
+            if tag in ("article", "main") and not stack[-1].aside:
+                articles += 1
+                for p in stack:
+                    p.held += 1
     add(html[at:])
     flush()
+    for p in elements:  # parents come first
+        p.prior += p.parent.prior + (0.0 if p.held and p.held + p.mains == articles else p.named)
     return out
 
 

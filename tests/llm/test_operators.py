@@ -174,6 +174,27 @@ def test_main_text():
     assert len(htmlcut.main_text("<article>" + "<p>word, and more words.</p>" * 3000)) == 3000 * 22 - 1
 
 
+PROSE = "The council met on Monday, and after a long debate it voted for the new bridge over the river. " * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post type-post tag-politics"><p>{}</p></article>',
+        '<div class="site has-sidebar"><article><p>{}</p></article></div>',
+        '<div class="overflow-hidden"><article><p>{}</p></article></div>',
+        '<div class="overflow-hidden"><div><p>{}</p></div></div>',
+        '<main><div class="sidebar-left"><article><p>{}</p></article></div></main>',
+        '<div class="layout sidebar-right"><main><p>{}</p></main></div>',
+        '<div class="sidebar-left"><article class="post"><p>{}</p></article></div><div class="related-posts"><article><p>Another story, of no matter here.</p></article></div>',
+        '<article><p>{}</p></article><ol class="comment-list"><li><article class="comment-body"><p>I loved reading this, thank you!</p></article></li></ol>',
+        '<article><p>{}</p></article><div class="sidebar"><article><p>Most read stories, all of them here.</p></article></div><div id="site-footer">All rights, reserved by us.</div>',
+    ],
+)
+def test_names_do_not_hide_articles(page):
+    assert htmlcut.main_text(page.format(PROSE)) == PROSE.strip()
+
+
 def test_pages_all_give_their_article(spark, sf):
     from html import unescape
 
