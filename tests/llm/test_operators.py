@@ -195,6 +195,11 @@ def test_names_do_not_hide_articles(page):
     assert htmlcut.main_text(page.format(PROSE)) == PROSE.strip()
 
 
+@pytest.mark.parametrize("tag", ['<svg class="i"/>', "<svg/>", '<math display="block" />', "<video-player>", "<select-menu>", '<title-bar class="x">', '<svg class="i"><path d="M0"/></svg>', "<video src=x>no video</video>"])
+def test_tags_do_not_swallow_the_page(tag):
+    assert htmlcut.main_text(f"<body>{tag}<article><p>{PROSE}</p></article></body>") == PROSE.strip()
+
+
 def test_pages_all_give_their_article(spark, sf):
     from html import unescape
 
