@@ -24,7 +24,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmlcut.extract(_t(spark, sf_dir, "pages"))
+    pages = _t(spark, sf_dir, "pages")
+    return htmlcut.extract(pages, model=htmlcut.train(pages))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

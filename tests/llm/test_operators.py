@@ -146,6 +146,8 @@ def test_url_rules(spark):
 
 # 3 HTML
 
+PROSE = "The council met on Monday, and after a long debate it voted for the new bridge over the river. " * 4
+
 
 def test_minimum_cut_is_least_of_all_labellings():
     g = random.Random(3)
@@ -158,6 +160,51 @@ def test_minimum_cut_is_least_of_all_labellings():
         assert cost(htmlcut.minimum_cut(x, e)) == pytest.approx(best)
 
 
+def test_the_cut_decides_what_scores_do_not():
+    line = "<p>Indeed.</p>"
+    page = f"<div id=a7><p>{PROSE}</p>{line}<p>{PROSE}</p>{line}{line}<p>{PROSE}</p></div><div id=b9><div><div>{line}</div></div></div>"
+    found = htmlcut.blocks(page)
+    score = htmlcut.scores(found, htmlcut.TextModel.default())
+    assert all((s > 0) == (len(b[0]) > 50) for s, b in zip(score, found))
+    assert htmlcut.minimum_cut(score, htmlcut.edges(found)) == [True] * 6 + [False]
+    assert htmlcut.main_text(page) == " ".join([PROSE.strip(), "Indeed.", PROSE.strip(), "Indeed. Indeed.", PROSE.strip()])
+
+
+def test_flow_on_long_chains():
+    g = random.Random(6)
+    x = [g.uniform(-0.4, 0.4) for _ in range(30_000)]
+    e = [(i, i + 1, 0.5) for i in range(len(x) - 1)]
+    got = htmlcut.minimum_cut(x, e)
+    # along a chain the best labelling is a shortest path
+    low, back = (max(0, x[0]), max(0, -x[0])), []
+    for v in x[1:]:
+        prev, low = low, []
+        step = []
+        for k, own in ((0, max(0, v)), (1, max(0, -v))):
+            a, b = prev[k], prev[1 - k] + 0.5
+            step.append(k if a <= b else 1 - k)
+            low.append(min(a, b) + own)
+        back.append(step)
+    cost = sum(max(0, -v) if k else max(0, v) for v, k in zip(x, got)) + sum(0.5 for a, b in zip(got, got[1:]) if a != b)
+    assert cost == pytest.approx(min(low))
+
+
+def test_classifier_is_drawn_to_its_prior_and_learns(spark):
+    cfg = htmlcut.CutConfig()
+    none = spark.createDataFrame([(None,), ("",), ("<p>no marks at all</p>",)], "html string")
+    for p in (none, none.where("false")):
+        assert htmlcut.train(p) == htmlcut.TextModel(cfg.weights, cfg.bias)
+    rows = [(f"<nav>Some words that go here, {i} of them.</nav><article><p>{'word ' * 40}{i}</p></article>",) for i in range(60)]
+    d = spark.createDataFrame(rows * 2, "html string")
+    m = htmlcut.train(d)
+    assert m.weights[2] < cfg.weights[2] and m == htmlcut.train(d.repartition(7))
+    x, y = np.array([[3.0, 0, 1, 1], [5.5, 0, 0, 0]]), np.array([0.0, 1.0])
+    w = htmlcut.fit(x, y, np.array([60.0, 60.0]))
+    z, v = np.column_stack([x, [1, 1]]), np.array([*w.weights, w.bias])
+    p = 1 / (1 + np.exp(-z @ v))
+    assert np.allclose(z.T @ (60.0 * (p - y)) + cfg.strength * 120 * (v - np.array([*cfg.weights, cfg.bias])), 0, atol=1e-3)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><a href=/>Home</a> <a href=/b>News</a></nav><div id="cookie-notice">We use cookies.</div>
 <article><header><h1>Big &amp; old</h1></header><p>First  para<b>graph</b>,\nwith words&nbsp;here.<br>And &#233;t&eacute;.<script>x("</p>")</script>
@@ -172,9 +219,11 @@ def test_main_text():
     body = "Plain text without any markup at all, but long enough to be a paragraph of prose, is what it says."
     assert htmlcut.main_text(body) == body
     assert len(htmlcut.main_text("<article>" + "<p>word, and more words.</p>" * 3000)) == 3000 * 22 - 1
-
-
-PROSE = "The council met on Monday, and after a long debate it voted for the new bridge over the river. " * 4
+    deep = "<div>" * 20_000 + f"<p>{PROSE}</p>" + "</div>" * 20_000 + f"<p>{PROSE}</p>"
+    assert htmlcut.main_text(deep) == f"{PROSE}{PROSE}".strip()
+    assert htmlcut.main_text("<i class=x>" * 20_000 + PROSE + "</b>" * 20_000) == PROSE.strip()
+    huge = "word " * 400_000
+    assert htmlcut.main_text(f"<article><p>{huge}.</p></article>") == huge + "."
 
 
 @pytest.mark.parametrize(
@@ -188,11 +237,16 @@ PROSE = "The council met on Monday, and after a long debate it voted for the new
         '<div class="layout sidebar-right"><main><p>{}</p></main></div>',
         '<div class="sidebar-left"><article class="post"><p>{}</p></article></div><div class="related-posts"><article><p>Another story, of no matter here.</p></article></div>',
         '<article><p>{}</p></article><ol class="comment-list"><li><article class="comment-body"><p>I loved reading this, thank you!</p></article></li></ol>',
+        '<article class="post-12 post hentry tag-politics"><p>{}</p></article>',
+        '<div id="page" class="has-sidebar"><p>{}</p></div>',
+        '<p><a href="/hidden-valley">{}</a> and so on, as it was said before, at length and with care.</p>',
+        '<p data-state="hidden-x" data-hidden=true data-role="navigation">{}</p>',
         '<article><p>{}</p></article><div class="sidebar"><article><p>Most read stories, all of them here.</p></article></div><div id="site-footer">All rights, reserved by us.</div>',
     ],
 )
 def test_names_do_not_hide_articles(page):
-    assert htmlcut.main_text(page.format(PROSE)) == PROSE.strip()
+    tail = " and so on, as it was said before, at length and with care." if "and so on" in page else ""
+    assert htmlcut.main_text(page.format(PROSE.strip())) == PROSE.strip() + tail
 
 
 @pytest.mark.parametrize("tag", ['<svg class="i"/>', "<svg/>", '<math display="block" />', "<video-player>", "<select-menu>", '<title-bar class="x">', '<svg class="i"><path d="M0"/></svg>', "<video src=x>no video</video>"])
@@ -203,8 +257,10 @@ def test_tags_do_not_swallow_the_page(tag):
 def test_pages_all_give_their_article(spark, sf):
     from html import unescape
 
-    got = {r.page_id: r for r in htmlcut.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
-    for p in spark.read.parquet(f"{sf}/pages.parquet").collect():
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    model = htmlcut.train(pages)
+    got = {r.page_id: r for r in htmlcut.extract(pages, model=model).collect()}
+    for p in pages.collect():
         inner = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
         parts = [" ".join(unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?p>|<br>|</?h1>", inner)]
         assert got[p.page_id].text == " ".join(x for x in parts if x)
