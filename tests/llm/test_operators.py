@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -94,7 +95,8 @@ def test_leaks_are_those_of_brute_force(spark):
                 expected.add((d, i))
     sd = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id bigint, text string")
     sb = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
-    for cfg in (decontam.LeakConfig(), decontam.LeakConfig(block_bytes=200)):
+    assert decontam.LeakIndex(list(range(12)), [" ".join(x) for x in items], decontam.LeakConfig(max_tables=1)).tables == 0
+    for cfg in (decontam.LeakConfig(), decontam.LeakConfig(block_bytes=20_000), decontam.LeakConfig(max_tables=1)):
         found = decontam.find_leaks(sd, sb, cfg=cfg).collect()
         assert {(r.doc_id, r.item_id) for r in found} == expected
         for r in found:
@@ -103,8 +105,36 @@ def test_leaks_are_those_of_brute_force(spark):
     assert kept == set(range(60)) - {d for d, _ in expected}
 
 
+def test_one_long_item_among_short_ones():
+    g = random.Random(2)
+    texts = [" ".join(f"s{g.randrange(10**6)}" for _ in range(g.randrange(20, 60))) for _ in range(3000)]
+    long = [f"l{g.randrange(10**6)}" for _ in range(20_000)]
+    tracemalloc.start()
+    index = decontam.LeakIndex(list(range(3001)), [*texts, " ".join(long)], decontam.LeakConfig())
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert index.tables and index.recall >= 0.995
+    edited = list(long)
+    for _ in range(3900):
+        edited[g.randrange(len(edited))] = f"e{g.randrange(10**6)}"
+    for _ in range(20):
+        del edited[g.randrange(len(edited))]
+    pad = " ".join(f"p{i}" for i in range(137))
+    docs = [f"{pad} {' '.join(edited)} {pad}", f"{pad} {texts[7]} {pad}", pad, " ".join(long[:15_000]), None]
+    got = index.search(pa.array(docs))
+    assert [(r, o) for r, o, *_ in got] == [(0, 3000), (1, 7)] and got[0][2] <= 3920 and got[0][3:] == (137, 137 + len(edited)) and got[1][2:4] == (0, 137)
+
+
+def test_short_items(spark):
+    d = spark.createDataFrame([(1, "The zyzzyva, the ZYZZYVA!"), (2, "red fox"), (3, "fox red"), (4, "zyzzyvas")], "doc_id int, text string")
+    b = spark.createDataFrame([(1, "zyzzyva"), (2, "red fox"), (3, "zyzzyva"), (4, "!?")], "item_id int, text string")
+    got = sorted(tuple(r) for r in decontam.find_leaks(d, b).collect())
+    assert got == [(1, 1, 0, 1, 1, 2), (1, 3, 0, 1, 1, 2), (2, 2, 0, 2, 0, 2)]
+    assert decontam.find_leaks(d, b, cfg=decontam.LeakConfig(min_words=3)).count() == 0
+
+
 def test_leaks_on_odd_rows(spark, odd, none):
-    b = spark.createDataFrame([(1, "alpha1 beta2"), (2, None), (3, "")], "item_id int, text string")
+    b = spark.createDataFrame([(1, "omega1 beta2"), (2, None), (3, "")], "item_id int, text string")
     assert decontam.find_leaks(odd, b).count() == 0
     assert decontam.decontaminate(odd, b).count() == odd.count()
     assert decontam.decontaminate(odd, b).columns == odd.columns
