@@ -8,12 +8,14 @@ hashes the least is chosen, the rightmost of equal ones, with its position.  Two
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.plans.materialize import materialize
@@ -26,12 +28,21 @@ _LOW = U64(0xFFFFFFFF)
 
 @dataclass(frozen=True)
 class WinnowConfig:
-    """``group_bytes``: about so much text is ordered by one task when documents meet their successors."""
+    """``group_bytes``: about so much text is ordered by one task when documents meet their successors.
+
+    From ``small_groups`` groups on they grow with the corpus up to ``big_bytes`` each, and beyond that
+    their number grows, so no task's share does.
+    """
 
     k: int = 16
     w: int = 32
     group_bytes: int = 8 << 20
-    max_groups: int = 2048
+    small_groups: int = 4096
+    big_bytes: int = 1 << 30
+
+    def groups(self, total: int) -> int:
+        n = total // self.group_bytes
+        return int(max(1, n if n <= self.small_groups else max(self.small_groups, total // self.big_bytes)))
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +153,12 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _lists(pos: np.ndarray, bounds: np.ndarray, off: np.ndarray) -> pa.Array:
+    """The positions of each text's hashes, counted from its start."""
+    local = pos - np.repeat(off[:-1], np.diff(bounds))
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(local.astype(np.int32)))
+
+
 def compare(texts: list[str], cfg: WinnowConfig) -> list[pa.Array]:
     """Result columns, without the id, of all texts but the last, each followed by the next."""
     rows = len(texts) - 1
@@ -160,15 +177,35 @@ def compare(texts: list[str], cfg: WinnowConfig) -> list[pa.Array]:
         hex_strings(eh, ebounds),
         pa.array(likeness(own, _sets(eh, ebounds), rows)),
         pa.array(likeness(own, nxt, rows)),
+        _lists(pos[: bounds[-2]], bounds[:-1], off[:-1]),
+        _lists(epos, ebounds, eoff),
     ]
 
 
-NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions", "edited_positions"]
+_KINDS = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, edited_positions array<int>"
+
+
+def _group(splits: list[tuple], kind: str, key: Column) -> Column:
+    """How many of the descending ``splits`` lie above the key: in two steps over blocks of about their root."""
+    if not splits:
+        return F.lit(0)
+    size = math.isqrt(len(splits) - 1) + 1
+    one = f"struct<id:{kind},th:bigint>"
+    held = [[{"id": i, "th": t} for i, t in splits[a : a + size]] for a in range(0, len(splits), size)]
+    heads = F.from_json(F.lit(json.dumps([b[0] for b in held], default=str)), f"array<{one}>")
+    blocks = F.from_json(F.lit(json.dumps(held, default=str)), f"array<array<{one}>>")
+    above = lambda table: F.size(F.filter(table, lambda s: F.struct(s["id"].alias("id"), s["th"].alias("th")) > key))
+    block = above(heads)
+    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * size + above(F.get(blocks, block - 1)))
 
 
 def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cfg: WinnowConfig = WinnowConfig()) -> DataFrame:
-    """Each row's fingerprint beside those of its edited text and of the next row, by descending id.
+    """Each row's fingerprint beside those of its edited text and of the next row, by descending id (columns: ``NAMES``).
 
+    ``fingerprint``: the chosen hashes in order of position, eight hexadecimal digits each; their
+    positions, in code points, are in ``positions``; the same of the edited text.  ``near_``: Jaccard
+    similarity of two sets of hashes, 1 if both are empty.
     Rows are dealt to groups by ranges of (id, hash of the text), and each group also gets the first
     row of the next one, so no order over all rows is ever made in one task and texts move once.
     Null ids come last; rows of one id go by the hash of their text; the row after the last is the
@@ -179,18 +216,14 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     keys = materialize(d.select("id", "th", F.octet_length("text").alias("n")))
     rows, total = keys.agg(F.count("*"), F.sum("n")).first()
     if not rows:
-        return d.selectExpr("id AS doc_id", "0L AS n_chars", "'' AS edited_sha256", "'' AS fingerprint", "'' AS edited_fingerprint", "0D AS near_edited", "0D AS near_next")
-    groups = int(min(cfg.max_groups, max(1, total // cfg.group_bytes)))
+        return d.selectExpr("id AS doc_id", "0L AS n_chars", "'' AS edited_sha256", "'' AS fingerprint", "'' AS edited_fingerprint", "0D AS near_edited", "0D AS near_next", "CAST(array() AS array<int>) AS positions", "CAST(array() AS array<int>) AS edited_positions")
+    groups = cfg.groups(int(total))
     # splits from a bounded sample; they only balance the groups and never change a result
     sample = keys.select("id", "th").orderBy(F.xxhash64("id", "th", F.lit(5))).limit(groups * 20).toArrow()
     order = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist()), key=lambda x: (x[0] is not None, x[0] or 0 if not isinstance(x[0], str) else x[0], x[1]))
     splits = list(dict.fromkeys(order[i * len(order) // groups] for i in range(1, groups)))
     key = F.struct(F.col("id").alias("id"), F.col("th").alias("th"))
-    if splits:
-        table = F.array(*[F.struct(F.lit(i).cast(kind).alias("id"), F.lit(t).cast("bigint").alias("th")) for i, t in splits])
-        group = F.size(F.filter(table, lambda s: s > key))
-    else:
-        group = F.lit(0)
+    group = _group(splits, kind, key)
     firsts = {g: (i, t) for g, i, t in keys.select(group.alias("g"), key.alias("k")).groupBy("g").agg(F.max("k").alias("k")).select("g", "k.id", "k.th").collect()}  # one row per group
     have = sorted(firsts)
     after = [(g, *firsts[have[(i + 1) % len(have)]]) for i, g in enumerate(have)]
@@ -212,4 +245,4 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
                     yield out.filter(pa.array([not e for e in ends[:-1]]))
                 held = ends[-1], ids.slice(len(ids) - 1, 1), texts[-1]
 
-    return every.select("end", "id", "text").mapInArrow(run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return every.select("end", "id", "text").mapInArrow(run, f"doc_id {kind}, {_KINDS}")
