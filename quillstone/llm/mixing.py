@@ -3,7 +3,7 @@
 Every source has a schedule, its weight as a piecewise linear function of training time 0..1.
 A source's share of all words follows its weight, and no source is taken more than ``max_epochs``
 times; what that leaves over is shared again by weight.  The words taken of a source form a stream,
-ordered by hash of the id, pass after pass.  The integral of the schedule says which part of the
+ordered by hash of the id and the text, pass after pass.  The integral of the schedule says which part of the
 stream is due at which time; its inverse gives each taken document its training position, and a
 range sort by position is the training order.
 """
@@ -87,11 +87,11 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     ``__mx_before``: words of the source that come before the row in one pass.  Whole passes take
     every row; the last, partial one takes the rows whose middle lies within what is left of the
     target, so a source misses it by half a row at most.  Null texts have size 0; null sources are
-    one source, the last; null and repeated ids are ordered by size, rows equal in all that are
-    interchangeable; sources without words have target 0; an empty table gives no rows.
+    one source, the last; null and repeated ids are told apart by their texts, and rows equal in both
+    are interchangeable; sources without words have target 0; an empty table gives no rows.
     """
     d = docs.withColumn("__mx_size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint"))
-    d = d.withColumn("__mx_key", F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).withColumn("__mx_src", F.col(source))
+    d = d.withColumn("__mx_key", F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("\x1f"), F.md5(F.coalesce(F.col(text), F.lit("")))))).withColumn("__mx_src", F.col(source))
     # the narrow columns once: sizes of sources and of blocks of a source come from them
     narrow = materialize(d.select(F.col("__mx_src").alias("source"), F.col("__mx_size").alias("size"), F.substring("__mx_key", 1, 5).alias("head")))
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -123,9 +123,9 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     return d.withColumn("__mx_passes", F.least(full + extra, F.lit(cfg.max_epochs).cast("bigint")))
 
 
-def first_position(cfg: MixConfig, pass_: Column | None = None) -> Column:
+def position_of(cfg: MixConfig, pass_: Column) -> Column:
     """Training position of a row's copy in pass 0, 1, ...: its start in the source's stream over all the stream."""
-    at = F.col("__mx_before") + (pass_ if pass_ is not None else F.lit(0)) * F.col("__mx_total")
+    at = F.col("__mx_before") + pass_ * F.col("__mx_total")
     share = F.least(F.when(F.col("__mx_target") > 0, at / F.col("__mx_target")).otherwise(F.lit(0.0)), F.lit(1.0))
     out = None
     for turn, schedule in reversed(list(enumerate(cfg.schedules))):
@@ -134,17 +134,29 @@ def first_position(cfg: MixConfig, pass_: Column | None = None) -> Column:
     return out
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cfg: MixConfig = MixConfig()) -> DataFrame:
-    """The training order: each row of ``docs`` as often as it is taken, range-sorted by position, same columns."""
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cfg: MixConfig = MixConfig(), keep: bool = False) -> DataFrame:
+    """The training order: each row of ``docs`` as often as it is taken, range-sorted by position, with the same columns.
+
+    ``keep`` adds ``position`` (0..1) and ``pass`` (from 0), in place of columns of these names.  Edge
+    cases are those of ``plan``: rows without words are taken as often as their source's passes cover
+    them, repeated rows each on their own account; an empty table gives no rows.
+    """
     p = plan(docs, doc_id, text, source, cfg).where("__mx_passes > 0")
     p = p.withColumn("__mx_pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__mx_passes") - 1)))
-    p = p.withColumn("__mx_position", first_position(cfg, F.col("__mx_pass")))
+    p = p.withColumn("__mx_position", position_of(cfg, F.col("__mx_pass")))
+    new = [F.col("__mx_position").alias("position"), F.col("__mx_pass").cast("int").alias("pass")] if keep else []
+    own = [F.col(f"`{c}`") for c in docs.columns if not keep or c not in ("position", "pass")]
     # the partition count follows the session; positions are spread over 0..1, so ranges are even
-    return p.repartitionByRange("__mx_position", "__mx_key").sortWithinPartitions("__mx_position", "__mx_key").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return p.repartitionByRange("__mx_position", "__mx_key").sortWithinPartitions("__mx_position", "__mx_key").select(*own, *new)
 
 
 def mixed_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cfg: MixConfig = MixConfig()) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken, passes, position)``, one line per row of ``docs``."""
+    """``(doc_id, size, source_size, target, taken, passes, position, position_2, ...)``, one line per row of ``docs``.
+
+    ``position_n``: where the row's copy in pass n is due, null if it is not taken so often.  Edge
+    cases are those of ``plan``.
+    """
+    place = lambda i: F.when(F.col("__mx_passes") > i, F.round(position_of(cfg, F.lit(i)), 6)).alias(f"position_{i + 1}" if i else "position")
     return plan(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")), "doc_id", "text", "source", cfg).select(
         "doc_id",
         F.col("__mx_size").alias("size"),
@@ -152,7 +164,7 @@ def mixed_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         F.col("__mx_target").alias("target"),
         (F.col("__mx_size") * F.col("__mx_passes")).alias("taken"),
         F.col("__mx_passes").alias("passes"),
-        F.when(F.col("__mx_passes") > 0, F.round(first_position(cfg), 6)).alias("position"),
+        *[place(i) for i in range(cfg.max_epochs)],
     )
 
 
@@ -175,10 +187,11 @@ def position_sql(share: str, schedule: Schedule) -> str:
 def oracle(cfg: MixConfig = MixConfig()) -> str:
     """DuckDB SQL for ``mixed_sizes`` over ``documents``."""
     weights = ", ".join(f"{w!r}::DOUBLE" for w in cfg.weights)
-    share = "least(CASE WHEN target > 0 THEN before / target ELSE 0 END, 1)"
-    turns = " ".join(f"WHEN {i} THEN {position_sql(share, s)}" for i, s in enumerate(cfg.schedules))
+    share = lambda p: f"least(CASE WHEN target > 0 THEN (before + {p} * source_size) / target ELSE 0 END, 1)"
+    turns = lambda p: " ".join(f"WHEN {i} THEN {position_sql(share(p), s)}" for i, s in enumerate(cfg.schedules))
+    places = ", ".join(f"CASE WHEN passes > {p} THEN round(CASE turn {turns(p)} END, 6) END AS position{f'_{p + 1}' if p else ''}" for p in range(cfg.max_epochs))
     return f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || chr(31) || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(cfg.weights)} AS turn FROM s),
 c AS (SELECT *, [{weights}][turn + 1] AS w, (source_size * {cfg.max_epochs})::DOUBLE AS cap FROM r),
@@ -188,5 +201,5 @@ t AS (SELECT l.source, source_size, turn, CASE WHEN m.level IS NULL OR ratio <=
 b AS (SELECT d.*, t.source_size, t.turn, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM b),
 p AS (SELECT *, least(whole + CASE WHEN before + size / 2.0::DOUBLE < target - whole * source_size THEN 1 ELSE 0 END, {cfg.max_epochs}) AS passes FROM f)
-SELECT doc_id, size, source_size, target, size * passes AS taken, passes, CASE WHEN passes > 0 THEN round(CASE turn {turns} END, 6) END AS position FROM p
+SELECT doc_id, size, source_size, target, size * passes AS taken, passes, {places} FROM p
 """
