@@ -17,6 +17,8 @@ from quillstone.plans.materialize import materialize
 
 BITS = 60
 STEP = 5
+#: A directory of so many buckets (some 40 MB) goes to every executor; beyond that rows meet it by a shuffle.
+BROADCAST_LEAVES = 500_000
 
 
 def _digest(doc_id: str, text: str):
@@ -60,18 +62,21 @@ def shard(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text
             break
         rows = materialize(rows.join(leaf, F.shiftright("__sh_h", BITS - depth) == leaf["cell"], "left_anti"))
         floor, depth = depth + 1, min(BITS, depth + STEP)
-    done = materialize(done)
-    open_ = d
-    out = None
-    for at in [r[0] for r in done.select("at").distinct().orderBy("at").collect()]:  # one or two depths as a rule, 12 at most
-        here = done.where(F.col("at") == at).select(F.col("cell").alias("__sh_cell"), "shard_depth", F.col("prefix").alias("__sh_prefix"), "shard_bytes")
-        key = F.shiftright("__sh_h", BITS - at)
-        joined = open_.withColumn("__sh_cell", key).join(here, "__sh_cell").drop("__sh_cell")
-        out = joined if out is None else out.unionByName(joined)
-    if out is None:
-        out = d.select("*", F.lit(0).alias("shard_depth"), F.lit(0).cast("bigint").alias("__sh_prefix"), F.lit(0).cast("bigint").alias("shard_bytes"))
+    # the directory: for each prefix of ``base`` bits the buckets under or over it, about one line per shard
+    leaves = materialize(done.select("shard_depth", "prefix", "shard_bytes").distinct())
+    base = min(start, BITS)
+    over_ = F.explode(F.expr(f"sequence(shiftleft(prefix, greatest({base} - shard_depth, 0)), shiftleft(prefix + 1, greatest({base} - shard_depth, 0)) - 1)"))
+    under = F.expr(f"shiftright(prefix, greatest(shard_depth - {base}, 0))")
+    slots = leaves.withColumn("slot", over_).withColumn("slot", F.when(F.col("shard_depth") > base, under).otherwise(F.col("slot"))).distinct()
+    # at most BITS buckets hang under a prefix once hashes are spread, for each set of rows that share more bits
+    directory = materialize(slots.groupBy(F.col("slot").alias("__sh_slot")).agg(F.collect_list(F.struct("shard_depth", "prefix", "shard_bytes")).alias("__sh_leaves")))
+    if leaves.count() <= BROADCAST_LEAVES:
+        directory = F.broadcast(directory)
+    out = d.withColumn("__sh_slot", F.shiftright("__sh_h", BITS - base)).join(directory, "__sh_slot")
+    mine = F.filter("__sh_leaves", lambda x: F.call_function("shiftright", F.col("__sh_h"), F.lit(BITS) - x["shard_depth"]) == x["prefix"])
+    out = out.withColumn("__sh_leaf", F.get(mine, F.lit(0))).select(*[F.col(f"`{c}`") for c in own], "__sh_h", "doc_bytes", F.col("__sh_leaf.shard_depth").alias("shard_depth"), F.col("__sh_leaf.prefix").alias("__sh_prefix"), F.col("__sh_leaf.shard_bytes").alias("shard_bytes"))
     bits = F.when(F.col("shard_depth") == 0, F.lit("")).otherwise(F.expr("lpad(conv(cast(__sh_prefix as string), 10, 2), shard_depth, '0')"))
-    over = done.where(F.col("shard_bytes") > limit)
+    over = leaves.where(F.col("shard_bytes") > limit)
     names = [*[F.col(f"`{c}`") for c in own]]
     tail = [F.col("shard"), F.col("shard_depth").cast("int").alias("shard_depth"), "doc_bytes", "shard_bytes"]
     out = out.withColumn("shard", bits)
@@ -93,9 +98,15 @@ def shard(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text
     return fit.unionByName(same.select(*names, *tail))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int, doc_id: str = "doc_id", text: str = "text") -> None:
-    """One folder of Parquet per shard; rows of a shard meet in one task, which the limit bounds."""
-    shard(docs, limit, doc_id, text).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int, doc_id: str = "doc_id", text: str = "text", order: tuple[str, ...] = ()) -> None:
+    """One folder of Parquet per shard; rows of a shard meet in one task, which the limit bounds.
+
+    ``order``: columns by which the rows of each shard are sorted.  Edge cases are those of ``shard``;
+    an empty table writes no shard.
+    """
+    out = shard(docs, limit, doc_id, text).repartition("shard")
+    out = out.sortWithinPartitions("shard", *order) if order else out
+    out.write.partitionBy("shard").parquet(path)
 
 
 def oracle(limit: int, table: str = "documents") -> str:
