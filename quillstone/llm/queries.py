@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprint, htmlcut, mixing, neardup, quality, sharding, toxicity, urlfilter
+from . import chat, decontam, fingerprint, htmlcut, mixing, neardup, pipeline, quality, sharding, toxicity, urlfilter
 
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = pipeline.SHARD_BYTES
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = (op1_decontamination, op2_url_filter, op3_main_text, op4_quality, op5_sharding, op6_chat, op7_toxicity, op8_fingerprints, op9_near_duplicates, op10_mixing)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

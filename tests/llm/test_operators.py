@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillstone.llm import chat, decontam, fingerprint, htmlcut, mixing, neardup, quality, sharding, textbuf, toxicity, urlfilter
 
@@ -357,6 +358,26 @@ def test_quality_learns_and_odd(spark, sf, odd, none):
     assert quality.assess(odd, quality.train(none, labels)).count() == odd.count()
 
 
+def test_quality_held_out(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.train(docs, labels, all_labels=False)
+    j = quality.assess(docs, m).join(labels, "doc_id").where("quality is not null AND crc32(CAST(doc_id AS STRING)) % 5 = 0").toPandas()
+    assert len(j) > 500 and (j.keep == (j.quality == 1)).mean() > 0.97
+
+
+def test_sites_decide_what_texts_do_not(spark):
+    # texts that say little, on a site of good ones and on one of bad ones: the posteriors turn verdicts
+    rows = [(s * 1000 + i, "AAaa" if i % 10 == 0 else "AAAA" if s else "aaaa", f"site{s}", "p") for s in (0, 1) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    w = np.zeros(34)
+    w[quality.FEATURES.index("upper")] = 4.0
+    got = quality.assess(d, quality.QualityModel(np.zeros(11), np.ones(11), w, -1.9)).toPandas()
+    faint = got[got.doc_id % 10 == 0]
+    assert (faint.evidence > 0).all()  # alone, all of them would be kept
+    assert (faint[faint.doc_id >= 1000].keep).all() and not faint[faint.doc_id < 1000].keep.any()
+
+
 def test_sparse_hosts_shrink(spark):
     rows = [(i, "AAAA" if i % 2 else "aaaa", "big", "x") for i in range(400)] + [(1000, "aaaa", "tiny", "x"), (1001, "aaaa", "tiny", "x")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
@@ -397,6 +418,17 @@ def test_shards_odd(spark, odd, none):
 def test_shard_files(spark, odd, tmp_path):
     sharding.write_shards(odd, str(tmp_path / "s"), 2000)
     assert spark.read.parquet(str(tmp_path / "s")).count() == odd.count()
+    sharding.write_shards(odd, str(tmp_path / "o"), 10**9, order=("doc_id", "text"))
+    got = [r.doc_id for r in spark.read.parquet(str(tmp_path / "o")).coalesce(1).collect()]
+    assert got == sorted(got, key=lambda x: x or 0)
+
+
+def test_shards_by_a_shuffle_are_the_same(spark, sf, monkeypatch):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = lambda: sorted(map(tuple, sharding.shard(d, 3000).select("doc_id", "shard", "shard_bytes").collect()))
+    a = rows()
+    monkeypatch.setattr(sharding, "BROADCAST_LEAVES", 0)
+    assert rows() == a
 
 
 # 6 chat
@@ -467,6 +499,24 @@ def test_labels_of_held_out_rows_are_not_learnt(spark):
     assert (got.predicted == got.doc_id % 2).all()
 
 
+def test_fit_is_the_dense_optimum():
+    g = np.random.RandomState(3)
+    x = (g.uniform(size=(200, 12)) < 0.3).astype(float)
+    y = (g.uniform(size=200) < 1 / (1 + np.exp(-(x @ g.normal(0, 2, 12) - 0.5)))).astype(float)
+    diff = g.choice([-1.0, 0.0, 0.0, 1.0], size=(30, 12))
+    cfg = toxicity.ToxicityConfig(l2=1e-2, swap=0.7, steps=6000)
+    (r, c), (sr, sc) = np.nonzero(x), np.nonzero(diff)
+    w, b = toxicity.fit_arrays(r, c, y, sr, sc, diff[sr, sc], 30, 12, cfg)
+    v = np.zeros(13)
+    z = np.column_stack([x, np.ones(200)])
+    ridge = np.diag([cfg.l2] * 12 + [0.0])
+    ridge[:12, :12] += 2 * cfg.swap / 30 * diff.T @ diff
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ v))
+        v -= np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) / 200 + ridge, z.T @ (p - y) / 200 + ridge @ v)
+    assert np.allclose(np.append(w, b), v, atol=1e-5)
+
+
 def test_swapping_terms_evens_scores(spark):
     rows = []
     for i in range(600):
@@ -484,13 +534,21 @@ def test_swapping_terms_evens_scores(spark):
     assert toxicity.counterfactuals("Muslim and gay", (("muslim", "jewish"), ("gay", "straight", "queer")), 5) == ["jewish and straight", "muslim and queer"]
 
 
+def test_terms_come_from_a_table(spark):
+    t = spark.createDataFrame([("a", "Poles"), ("a", "danes "), ("b", "lone"), (None, "x"), ("a", "poles"), ("c", None)], "kind string, term string")
+    assert toxicity.terms_of(t) == (("danes", "poles"),)
+    assert toxicity.counterfactuals("the Poles", toxicity.terms_of(t), 3) == ["the danes"]
+
+
 def test_toxicity_odd(spark, odd, none):
+    assert toxicity.drop_toxic(odd, toxicity.train(odd, spark.createDataFrame([], "doc_id bigint, toxic int"))).count() == odd.count()
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (10, 0), (10, 0), (9, 0)], "doc_id bigint, toxic int")
     for m in (toxicity.train(odd, labels), toxicity.train(none, labels), toxicity.train(odd, labels.where("false"))):
         got = toxicity.score(odd, m).toPandas()
         assert len(got) == odd.count() and got.score.notna().all() and not got[got.doc_id.isna()].held_out.any()
         assert toxicity.score(none, m).count() == 0
         kept = toxicity.drop_toxic(odd, m)
+        assert m.weight.any() or kept.count() in (0, odd.count())
         assert kept.columns == odd.columns and kept.count() == int((got.score < 0.5).sum())
 
 
@@ -515,6 +573,38 @@ def test_winnowing_is_brute_force(texts, k, w):
         assert h[own].tolist() == [grams[j] for j in sorted(want)]
 
 
+def _winnowed(t):
+    """Hashes, as they are printed, and positions of the winnowed runs of a text, window by window."""
+    cfg = fingerprint.WinnowConfig()
+    cp = np.array([ord(c) for c in t], dtype=np.uint32)
+    grams = fingerprint._grams(cp, cfg.k if len(t) >= cfg.k else len(t)).tolist() if t else []
+    at = set()
+    for a in range(max(1, len(grams) - cfg.w + 1)) if grams else ():
+        part = grams[a : a + cfg.w]
+        low = min(part)
+        at.add(a + max(j for j, v in enumerate(part) if v == low))
+    return [f"{int(grams[a]):08x}" for a in sorted(at)], sorted(at)
+
+
+def test_groups_of_fingerprints_grow_without_end(spark):
+    cfg = fingerprint.WinnowConfig()
+    assert [cfg.groups(x << 20) for x in (0, 20, 8 << 12, 1 << 20, 100 << 20)] == [1, 2, 4096, 4096, 100 << 10]
+    d = spark.range(500).selectExpr("CASE WHEN id > 3 THEN id DIV 2 END AS id", "hash(id) % 9 AS th")
+    for kind in ("bigint", "string"):
+        k = d.selectExpr(f"CAST(id AS {kind}) AS id", "CAST(th AS bigint) AS th")
+        order = lambda r: (r[0] is not None, r[0] or 0 if kind == "bigint" else r[0] or "", r[1])
+        splits = sorted({tuple(r) for r in k.sample(0.1, 3).collect()} | {(None, 1)}, key=order, reverse=True)
+        for s in (splits, splits[:1]):
+            for r in k.withColumn("g", fingerprint._group(s, kind, F.struct("id", "th"))).collect():
+                assert r.g == sum(order(x) > order((r.id, r.th)) for x in s)
+
+
+def test_string_ids_with_nulls(spark):
+    d = spark.createDataFrame([(None, "b" * 60), ("z", "c" * 70), (None, "b" * 60), ("a", None), ("z", "d" * 40)], "doc_id string, text string")
+    got = fingerprint.edited_fingerprints(d, cfg=fingerprint.WinnowConfig(group_bytes=60)).toPandas()
+    assert len(got) == 5 and got[got.n_chars == 60].near_next.iloc[0] == 1.0 and got.doc_id.isna().sum() == 2
+
+
 def test_fingerprints_of_edited_texts(spark, odd, none):
     got = fingerprint.edited_fingerprints(odd, cfg=fingerprint.WinnowConfig(group_bytes=300_000)).toPandas()
     rows = [(r.doc_id, r.text or "") for r in odd.collect()]
@@ -523,10 +613,12 @@ def test_fingerprints_of_edited_texts(spark, odd, none):
     want = []
     for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
         e = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
-        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest()))
+        (own, at), (new, new_at), (nxt, _) = _winnowed(t), _winnowed(e), _winnowed(n)
+        like = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if {*a} | {*b} else 1.0
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), "".join(own), "".join(new), round(like(own, new), 12), round(like(own, nxt), 12), at, new_at))
     key = lambda r: (r[0] is None, r)
-    assert sorted(((None if i != i else int(i), n, s) for i, n, s in zip(got.doc_id, got.n_chars, got.edited_sha256)), key=key) == sorted(want, key=key)
-    assert got[got.n_chars == 0].fingerprint.eq("").all() and got[["near_edited", "near_next"]].stack().between(0, 1).all()
+    columns = zip(got.edited_sha256, got.fingerprint, got.edited_fingerprint, got.near_edited.round(12), got.near_next.round(12), map(list, got.positions), map(list, got.edited_positions))
+    assert sorted(((None if i != i else int(i), n, *c) for i, n, c in zip(got.doc_id, got.n_chars, columns)), key=key) == sorted(want, key=key)
     assert fingerprint.edited_fingerprints(none).count() == 0
     one = spark.createDataFrame([(5, "abcdef" * 9)], "doc_id bigint, text string")
     r = fingerprint.edited_fingerprints(one).first()
@@ -686,6 +778,13 @@ def test_mix_rows_and_odd(spark, odd, none):
     assert Counter(got["size"]) == Counter(len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in odd.collect())
     out = mixing.mix(odd)
     assert out.columns == odd.columns and out.count() == int(got.passes.sum())
+    kept = mixing.mix(odd.withColumn("pass", odd.target), keep=True).toPandas()
+    assert list(kept.columns) == [*odd.columns, "position", "pass"] and kept.position.is_monotonic_increasing
+    want = sorted(x for i in (1, 2, 3) for x in got[f"position_{i}" if i > 1 else "position"].dropna())
+    assert kept.position.round(6).tolist() == want and Counter(kept["pass"]) == Counter(p for n in got.passes for p in range(n))
+    nameless = spark.range(2000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "concat('w ', id) AS text", "'s' AS source")
+    p = mixing.mixed_sizes(nameless, cfg=mixing.MixConfig(block_rows=100)).toPandas()
+    assert p.position.nunique() == 2000 and (p.taken == 2).all() and p.position_2.isna().all()
     assert mixing.mixed_sizes(none).count() == mixing.mix(none).count() == 0
     one = spark.createDataFrame([(1, "a b", "s"), (2, "", "s"), (3, "c", None)], "doc_id bigint, text string, source string")
     t = {r.doc_id: r for r in mixing.mixed_sizes(one).collect()}
