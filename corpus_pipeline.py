@@ -1,61 +1,5 @@
-"""A corpus pipeline of five stages, each applying one operator to all that the one before it kept."""
+"""The corpus pipeline: its stages are in ``quillstone.llm.pipeline``."""
 
-from __future__ import annotations
+from quillstone.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from quillstone.llm import decontam, mixing, neardup, sharding, toxicity
-from quillstone.plans.materialize import materialize
-
-SHARD_BYTES = 32 << 20
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from ``labels``."""
-    return toxicity.drop_toxic(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
-
-
-def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
-    return neardup.keep_one(docs)
-
-
-def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of ``benchmark`` go."""
-    return decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-
-
-def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
-    return mixing.mix(docs)
-
-
-def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row with its shard."""
-    return sharding.shard(docs, SHARD_BYTES)
-
-
-STAGES = [
-    ("toxicity", stage_toxicity),
-    ("near duplicates", stage_near_duplicates),
-    ("decontamination", stage_decontaminate),
-    ("mixing", stage_mix),
-    ("sharding", stage_shard),
-]
-
-#: A trained classifier and sampled sketches have no SQL; tests/llm holds the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
-    docs = _table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
