@@ -221,7 +221,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     # splits from a bounded sample; they only balance the groups and never change a result
     sample = keys.select("id", "th").orderBy(F.xxhash64("id", "th", F.lit(5))).limit(groups * 20).toArrow()
     order = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist()), key=lambda x: (x[0] is not None, x[0] or 0 if not isinstance(x[0], str) else x[0], x[1]))
-    splits = list(dict.fromkeys(order[i * len(order) // groups] for i in range(1, groups)))
+    splits = list(dict.fromkeys(order[i * len(order) // groups] for i in range(1, groups)))[::-1]
     key = F.struct(F.col("id").alias("id"), F.col("th").alias("th"))
     group = _group(splits, kind, key)
     firsts = {g: (i, t) for g, i, t in keys.select(group.alias("g"), key.alias("k")).groupBy("g").agg(F.max("k").alias("k")).select("g", "k.id", "k.th").collect()}  # one row per group

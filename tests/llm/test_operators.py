@@ -605,8 +605,9 @@ def test_string_ids_with_nulls(spark):
     assert len(got) == 5 and got[got.n_chars == 60].near_next.iloc[0] == 1.0 and got.doc_id.isna().sum() == 2
 
 
-def test_fingerprints_of_edited_texts(spark, odd, none):
-    got = fingerprint.edited_fingerprints(odd, cfg=fingerprint.WinnowConfig(group_bytes=300_000)).toPandas()
+@pytest.mark.parametrize("size", [300_000, 200])
+def test_fingerprints_of_edited_texts(spark, odd, none, size):
+    got = fingerprint.edited_fingerprints(odd, cfg=fingerprint.WinnowConfig(group_bytes=size)).toPandas()
     rows = [(r.doc_id, r.text or "") for r in odd.collect()]
     th = {r.text: r.h for r in odd.selectExpr("coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()}
     rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, th[r[1]]), reverse=True)
@@ -656,8 +657,30 @@ def test_samples_agree_as_often_as_texts_are_alike():
     assert (ids[0] == ids[1]).mean() == pytest.approx(j, abs=0.06)
 
 
-@pytest.mark.parametrize("rest", [24, 2])
-def test_near_duplicates_are_those_of_brute_force(spark, rest, monkeypatch):
+def test_pivot_similarity_is_that_of_pairs():
+    cfg, g = neardup.NearDupConfig(), random.Random(3)
+    texts = pa.array([" ".join(f"w{g.randrange(30)}" for _ in range(g.randrange(0, 40))) for _ in range(60)] + [None, "", "x"])
+    pivot = np.maximum.accumulate(np.where(np.arange(len(texts)) % 7 == 0, np.arange(len(texts)), 0))
+    df = g.choices(range(9), k=1 << cfg.df_bits)
+    df = np.array(df, dtype=np.int32)
+    got = neardup.pivot_similarity(texts, pivot, df, 60, cfg)
+    assert got == pytest.approx(neardup.weighted_jaccard(texts, texts.take(pa.array(pivot)), df, 60, cfg))
+
+
+def test_frequencies_are_counted_over_all_rows(spark, monkeypatch):
+    cfg = neardup.NearDupConfig(df_bits=12)
+    d = spark.range(300).selectExpr("CASE WHEN id % 10 = 0 THEN NULL WHEN id % 10 = 1 THEN '' ELSE concat('the cat ', id % 7) END AS text").repartition(7)
+    df, n = neardup.shingle_df(d, "text", cfg)
+    want = np.zeros(1 << 12, dtype=np.int64)
+    for r in d.collect():
+        *_, key, _, _ = neardup._vectors(pa.array([r.text], pa.string()), cfg)
+        want[neardup._cells(key, cfg)] += 1
+    assert n == 240 and (df == want).all()
+
+
+@pytest.mark.parametrize("star, rest", [(512, 24), (3, 2)])
+def test_near_duplicates_are_those_of_brute_force(spark, star, rest, monkeypatch):
+    monkeypatch.setattr(neardup, "STAR_ROWS", star)
     cfg = neardup.NearDupConfig(rest=rest)
     g = random.Random(5)
     docs = []
