@@ -34,13 +34,21 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _expansion(a) -> ExpansionConfig | None:
+    return ExpansionConfig(a.expand_docs, a.expand, a.expand_weight) if a.expand is not None else None
+
+
 def _engine(spark, a) -> Engine:
-    e = ExpansionConfig(a.expand_docs, a.expand, a.expand_weight) if a.expand is not None else None
+    e = _expansion(a)
     if a.index:
         import os
 
         return Engine.load(spark, a.index, corpus=a.corpus if os.path.isdir(a.corpus) else None, rrf_k=a.rrf_k, mmr_lambda=a.mmr, expansion=e)
-    return Engine.from_corpus(spark, a.corpus, EngineConfig(a.chunk_tokens, a.overlap_tokens, a.rrf_k or 60, mmr_lambda=a.mmr, expansion=e))
+    return Engine.from_corpus(spark, a.corpus, _config(a, e))
+
+
+def _config(a, expansion: ExpansionConfig | None) -> EngineConfig:
+    return EngineConfig(a.chunk_tokens, a.overlap_tokens, 60 if a.rrf_k is None else a.rrf_k, mmr_lambda=a.mmr, expansion=expansion)
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
@@ -49,7 +57,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     try:
         if a.verb == "index":
             began = time.time()
-            engine = Engine.from_corpus(spark, a.corpus, EngineConfig(a.chunk_tokens, a.overlap_tokens, a.rrf_k or 60, mmr_lambda=a.mmr))
+            engine = Engine.from_corpus(spark, a.corpus, _config(a, _expansion(a)))
             engine.save(a.output)
             print(f"indexed {len(engine)} chunks into {a.output} in {time.time() - began:.1f} s")
             return 0

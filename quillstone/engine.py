@@ -69,13 +69,15 @@ class Engine:
         c = self.index.lengths.agg(F.count("*").alias("chunks"), *[F.coalesce(f("len").cast("double"), F.lit(0.0)).alias(n) for f, n in ((F.avg, "mean_tokens"), (F.min, "min_tokens"), (F.max, "max_tokens"))])
         return self.documents.agg(F.count("*").alias("documents")).join(c).join(self.index.terms.agg(F.count("*").alias("vocabulary")))  # one row each
 
-    def _pool(self, queries: DataFrame, method: str, size: int, weights: DataFrame | None = None) -> DataFrame:
+    def _lists(self, queries: DataFrame, size: int, weights: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The best ``size`` chunks by BM25 and by cosine, of the questions or of explicit weights."""
         if weights is None:
             terms = rs.query_terms(queries)
-            b, v = rs.bm25_scores(self.index, rs.as_weights(terms)), rs.vector_scores(self.index, rs.query_vectors(self.index, terms))
-        else:
-            b, v = rs.bm25_scores(self.index, weights), rs.vector_scores(self.index, rs.weighted_vectors(self.index, weights))
-        return rs.pool(self.index, method, size, self.config.rrf_k, b, v)
+            return rs.both_tops(self.index, rs.as_weights(terms), rs.query_vectors(self.index, terms), size)
+        return rs.both_tops(self.index, weights, rs.weighted_vectors(self.index, weights), size)
+
+    def _pool(self, queries: DataFrame, method: str, size: int, weights: DataFrame | None = None) -> DataFrame:
+        return rs.pool(method, self.config.rrf_k, *self._lists(queries, size, weights), size)
 
     def expansion_model(self, queries: DataFrame, method: str = rs.HYBRID, candidates: int = 25, expansion: ExpansionConfig | None = None) -> DataFrame:
         """``(query_id, term, weight)`` after one feedback pass; no rows where expansion is off."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as tx
 from .search import PLACES
 
-NOTHING = "No relevant passage was found in the knowledge base."
+NOTHING = "Nothing in these documents answers the question."
 
 
 def term_weights(queries: DataFrame, results: DataFrame) -> DataFrame:

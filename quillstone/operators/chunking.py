@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,33 +13,39 @@ from quillstone.functions import text as tx
 from quillstone.plans.limits import least
 from quillstone.plans.materialize import materialize
 from quillstone.plans.numbering import running_offset
+from quillstone.plans.spread import spread
+
+
+def span_list(counts: list[int], target: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(first sentence, last sentence, tokens) of each chunk: a step per chunk, by search in the running sums of tokens."""
+    n = len(counts)
+    if not n:
+        return []
+    p = [0, *accumulate(counts)]
+    out, s, least = [], 0, 1
+    while True:
+        j = max(least, bisect_right(p, p[s] + target) - 1)
+        if j >= n:
+            return [*out, (s, n - 1, p[n] - p[s])]
+        out.append((s, j - 1, p[j] - p[s]))
+        carried = max(s + 1, bisect_left(p, p[j] - overlap)) if overlap else j
+        s, least = carried if carried < j or not overlap else j - 1, j + 1
 
 
 def spans(counts: Column, target: int, overlap: int) -> Column:
-    """Array of (first, last) sentence of each chunk, from the token counts of the sentences.
+    """Array of (first sentence, last sentence, tokens) of each chunk, from the token counts of the sentences.
 
     A chunk ends before the sentence that would take it past ``target``.  With overlap the next one
     starts at the earliest later sentence from which at most ``overlap`` tokens are carried, at the
-    last sentence at least; a carried start is not checked against the target again.
+    last sentence at least; a carried start is not checked against the target again.  Only the counts
+    go to Python, a batch of documents at a time: a fold over an array copies it at each step.
     """
-    zero = F.lit(0)
-    sums = F.aggregate(counts, F.array(zero), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    start = F.struct(sums.alias("p"), zero.alias("s"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-
-    def step(acc: Column, j: Column) -> Column:
-        p, s = acc["p"], acc["s"]
-        full = (j > s) & (F.get(p, j + 1) - F.get(p, s) > target)
-        if overlap:
-            carried = F.filter(F.sequence(s + 1, F.greatest(j - 1, s + 1)), lambda i: (i < j) & (F.get(p, j) - F.get(p, i) <= overlap))
-            new = F.coalesce(F.get(carried, F.lit(0)), j - 1)
-        else:
-            new = j
-        out = F.array_append(acc["out"], F.struct(s.alias("a"), (j - 1).alias("b")))
-        return F.struct(p.alias("p"), F.when(full, new).otherwise(s).alias("s"), F.when(full, out).otherwise(acc["out"]).alias("out"))
-
-    n = F.size(counts)
-    end = lambda acc: F.array_append(acc["out"], F.struct(acc["s"].alias("a"), (n - 1).alias("b")))
-    return F.when(n > 0, F.aggregate(F.sequence(zero, n - 1), start, step, end)).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+
+    @F.pandas_udf("array<struct<a:int,b:int,n:int>>")
+    def each(c: pd.Series) -> pd.Series:
+        return c.map(lambda x: [{"a": a, "b": b, "n": n} for a, b, n in span_list([] if x is None else x.tolist(), target, overlap)])
+
+    return each(counts)
 
 
 def check_sizes(target: int, overlap: int) -> None:
@@ -51,20 +61,22 @@ def chunk(documents: DataFrame, target: int = 120, overlap: int = 30) -> DataFra
     order, then by place in the document; a document without sentences has no chunks.
     """
     check_sizes(target, overlap)
-    d = documents.select(F.col("doc_id").cast("string").alias("doc_id"), tx.sentences(F.col("text")).alias("sents"))
-    d = d.withColumn("counts", F.transform("sents", lambda s: F.size(tx.tokens(s))))
-    d = materialize(d.withColumn("spans", spans(F.col("counts"), target, overlap)))
-    base = running_offset(d.select("doc_id", F.size("spans").alias("n")), "doc_id", "n", "base").select("doc_id", "base")
-    c = d.join(base, "doc_id").select("doc_id", "base", "sents", "counts", F.posexplode("spans").alias("chunk_ord", "span"))
-    size = F.col("span.b") - F.col("span.a") + 1
+    d = spread(documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "doc_id")
+    d = d.select("doc_id", tx.sentences(F.col("text")).alias("sents"))
+    d = d.withColumn("spans", spans(F.transform("sents", lambda s: F.size(tx.tokens(s))), target, overlap))
+    # each chunk takes its slice before rows multiply, so no row carries its whole document along
+    made = F.transform("spans", lambda s: F.struct(F.array_join(F.slice("sents", s["a"] + 1, s["b"] - s["a"] + 1), "\n").alias("text"), s["n"].alias("n"), s["a"].alias("a"), s["b"].alias("b")))
+    d = materialize(d.select("doc_id", F.size("spans").alias("n"), made.alias("made")))
+    base = running_offset(d.select("doc_id", "n"), "doc_id", "n", "base").select("doc_id", "base")
+    c = d.join(base, "doc_id").select("doc_id", "base", F.posexplode("made").alias("chunk_ord", "c"))
     return c.select(
         (F.col("base") + F.col("chunk_ord")).cast("int").alias("chunk_index"),
         "doc_id",
         "chunk_ord",
         F.concat("doc_id", F.lit("::"), F.col("chunk_ord").cast("string")).alias("chunk_id"),
-        F.array_join(F.slice("sents", F.col("span.a") + 1, size), "\n").alias("text"),
-        F.aggregate(F.slice("counts", F.col("span.a") + 1, size), F.lit(0), lambda a, x: a + x).alias("token_count"),
-        F.col("span.a").alias("sentence_start"),
-        F.col("span.b").alias("sentence_end"),
+        F.col("c.text").alias("text"),
+        F.col("c.n").alias("token_count"),
+        F.col("c.a").alias("sentence_start"),
+        F.col("c.b").alias("sentence_end"),
         F.create_map().cast("map<string,string>").alias("metadata"),
     )

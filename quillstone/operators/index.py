@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
 from quillstone.plans.limits import least, share
 from quillstone.plans.materialize import materialize
+from quillstone.plans.spread import spread
+
+#: Tasks that the postings of one term are dealt to.
+SLICES = 16
 
 
 @dataclass(frozen=True)
@@ -26,13 +30,15 @@ class IndexConfig:
 @dataclass(frozen=True)
 class Index:
     """``lengths(chunk_index, len)``, ``terms(term, df, idf_bm25, idf_tfidf)``,
-    ``postings(chunk_index, term, tf, len, impact, w)`` and the one-row ``stats(n, avg_len)``.
+    ``postings(chunk_index, term, tf, len, impact, w)``, the same by chunk as
+    ``vectors(chunk_index, terms, impacts, ws)``, and the one-row ``stats(n, avg_len)``.
     """
 
     chunks: DataFrame
     lengths: DataFrame
     terms: DataFrame
     postings: DataFrame
+    vectors: DataFrame
     stats: DataFrame
     config: IndexConfig
 
@@ -44,6 +50,9 @@ def term_frequencies(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
+    """``(chunk_index, len)``; sentences end tokens, so a chunk's is the sum of theirs, where that is known."""
+    if "token_count" in chunks.columns:
+        return chunks.select("chunk_index", F.col("token_count").alias("len"))
     return chunks.select("chunk_index", F.size(tx.tokens(F.col("text"))).alias("len"))
 
 
@@ -64,12 +73,22 @@ def build_index(chunks: DataFrame, config: IndexConfig = IndexConfig()) -> Index
     lengths = materialize(chunk_lengths(chunks))
     stats = materialize(corpus_stats(lengths))
     n, avg = stats.first()
-    tf = materialize(term_frequencies(chunks))
+    tf = materialize(term_frequencies(spread(chunks, "chunk_index")))
     terms = materialize(term_stats(tf, n))
     k1, b = config.k1, config.b
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("len") / F.lit(avg)) if avg else F.lit(k1)
     raw = (1.0 + F.log("tf") if config.sublinear_tf else F.col("tf").cast("double")) * F.col("idf_tfidf")
-    p = tf.join(terms, "term").join(lengths, "chunk_index").withColumn("raw", raw)
-    size = p.groupBy("chunk_index").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("size"))
-    p = p.join(size, "chunk_index").select("chunk_index", "term", "tf", "len", (F.col("idf_bm25") * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + norm)).alias("impact"), (F.col("raw") / F.col("size")).alias("w"))
-    return Index(chunks, lengths, terms, materialize(p.repartitionByRange("term", "chunk_index").sortWithinPartitions("term")), stats, config)
+    # the terms of a chunk meet once; they are as few as its tokens
+    chunk = Window.partitionBy("chunk_index")
+    p = tf.join(terms, "term").withColumn("raw", raw).withColumn("len", F.sum("tf").over(chunk).cast("int")).withColumn("size", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(chunk)))
+    p = p.select("chunk_index", "term", "tf", "len", (F.col("idf_bm25") * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + norm)).alias("impact"), (F.col("raw") / F.col("size")).alias("w"))
+    # a chunk's terms are one row, so that any split of the table scores whole chunks
+    v = p.groupBy("chunk_index").agg(F.collect_list(F.struct("term", "tf", "len", "impact", "w")).alias("p"))
+    v = materialize(v)
+    vectors = v.select("chunk_index", F.col("p.term").alias("terms"), F.col("p.impact").alias("impacts"), F.col("p.w").alias("ws"))
+    none = lambda t: F.array().cast(f"array<{t}>")
+    vectors = vectors.unionByName(lengths.where("len = 0").select("chunk_index", none("string").alias("terms"), none("double").alias("impacts"), none("double").alias("ws")))
+    postings = v.select("chunk_index", F.explode("p").alias("p")).select("chunk_index", "p.*")
+    # a frequent term is spread over tasks; sorted files let readers skip
+    postings = materialize(postings.repartition("term", F.pmod("chunk_index", F.lit(SLICES))).sortWithinPartitions("term", "chunk_index"))
+    return Index(chunks, lengths, terms, postings, materialize(vectors), stats, config)

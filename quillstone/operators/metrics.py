@@ -56,16 +56,21 @@ def reciprocal_rank(queries: DataFrame, ranked: DataFrame, gold: DataFrame) -> D
     return queries.select("query_id").distinct().join(r, "query_id", "left").select("query_id", F.coalesce(1.0 / F.col("rank"), F.lit(0.0)).alias("rr"))
 
 
-def aggregate(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = CUTS, by: Sequence[str] = ()) -> DataFrame:
-    """``(slice, k, queries, hit, recall, precision, ndcg, mrr)``: means over all queries, and over those of each ``by``."""
+def aggregate(queries: DataFrame, ranked: DataFrame, gold: DataFrame, ks: Sequence[int] = CUTS, by: Sequence[str] = (), within: Sequence[str] = ()) -> DataFrame:
+    """``(*within, slice, k, queries, hit, recall, precision, ndcg, mrr)``: means over all queries, and over those of each ``by``.
+
+    ``within``: columns of ``queries`` that keep runs of different settings apart.
+    """
     m = per_query(queries, ranked, gold, ks).join(ndcg(queries, ranked, gold, ks), ["query_id", "k"]).join(reciprocal_rank(queries, ranked, gold), "query_id")
-    m = m.join(queries.select("query_id", *by), "query_id")
+    m = m.join(queries.select("query_id", *by, *within), "query_id")
     r6 = lambda c, name: F.round(F.avg(c), 6).alias(name)
     cols = [F.count("*").alias("queries"), r6("hit", "hit"), r6("recall", "recall"), r6("precision", "precision"), r6("ndcg", "ndcg"), r6("rr", "mrr")]
+    keep = [F.col(c) for c in (*within, "k")]
+    out = [*within, "slice", "k", "queries", "hit", "recall", "precision", "ndcg", "mrr"]
     if not by:
-        return m.groupBy("k").agg(*cols).withColumn("slice", F.lit("all"))
+        return m.groupBy(*keep).agg(*cols).withColumn("slice", F.lit("all")).select(*out)
     name = F.when(F.grouping(by[0]) == 1, F.lit("all")).otherwise(F.col(by[0])).alias("slice")
-    return m.groupingSets([[F.col("k")], [F.col("k"), F.col(by[0])]], F.col("k"), F.col(by[0])).agg(name, *cols).select("slice", "k", "queries", "hit", "recall", "precision", "ndcg", "mrr")
+    return m.groupingSets([keep, [*keep, F.col(by[0])]], *keep, F.col(by[0])).agg(name, *cols).select(*out)
 
 
 def misses_partials(queries: DataFrame, ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:

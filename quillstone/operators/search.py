@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
 from quillstone.plans.limits import least
+from quillstone.plans.materialize import materialize
 
 from .index import Index
 
@@ -37,10 +44,16 @@ def bm25_scores(index: Index, weights: DataFrame) -> DataFrame:
     return s.where("score > 0")
 
 
-def dense_scores(index: Index, weights: DataFrame, queries: DataFrame) -> DataFrame:
-    """Scores of every chunk for every query, zeros included: as many rows as the result has by definition."""
-    every = queries.select("query_id").join(index.lengths.select("chunk_index"))
-    return every.join(bm25_scores(index, weights), ["query_id", "chunk_index"], "left").select("query_id", "chunk_index", F.coalesce("score", F.lit(0.0)).alias("score"))
+def dense_scores(index: Index, weights: DataFrame) -> DataFrame:
+    """BM25 scores of every chunk for every query of ``weights``, zeros included: as many rows as the result has by definition.
+
+    Each task makes those of its own chunks for a block of queries; no rows are paired by a join.
+    """
+    found = None
+    for held, kind in _blocks(weights.select("query_id", "term", "weight", F.lit(0.0).alias("qw"))):
+        part = index.vectors.mapInArrow(lambda batches, held=held: held.value.every(batches), f"query_id {kind}, chunk_index int, score double")
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _unit(raw: DataFrame) -> DataFrame:
@@ -69,6 +82,116 @@ def as_weights(terms: DataFrame) -> DataFrame:
     return terms.select("query_id", "term", F.col("qtf").cast("double").alias("weight"))
 
 
+def both_tops(index: Index, weights: DataFrame, vectors: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The ``size`` best chunks of each query by BM25 and by cosine, ``(query_id, chunk_index, score, rank)`` each.
+
+    The queries go to every task in blocks of ``BLOCK_TERMS`` terms or so, and each task scores its own
+    chunks whole, for both lists at once, and sends on no more than ``size`` a query and list.  So no
+    score is shuffled, and the work is one pass over the chunks per block of queries.
+    """
+    t = weights.select("query_id", "term", "weight").join(vectors.select("query_id", "term", "qw"), ["query_id", "term"], "full_outer")
+    found = None
+    for held, kind in _blocks(t.select("query_id", "term", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("qw", F.lit(0.0)).alias("qw"))):
+        part = index.vectors.mapInArrow(lambda batches, held=held: held.value.best(batches, size), f"query_id {kind}, chunk_index int, score double, own boolean")
+        found = part if found is None else found.unionByName(part)
+    found = materialize(found)
+    return tuple(top(found.where(F.col("own") == own).select("query_id", "chunk_index", "score"), size) for own in (True, False))
+
+
+#: Query terms that tasks hold at a time, and scores of queries and chunks that one holds at a time.
+BLOCK_TERMS, BLOCK_SCORES = 500_000, 1 << 22
+
+
+def _blocks(t: DataFrame):
+    """Broadcast blocks of ``(query_id, term, weight, qw)``, and the type of the ids."""
+    t = materialize(t)
+    kind = t.schema["query_id"].dataType.simpleString()
+    blocks = max(1, -(-t.count() // BLOCK_TERMS))
+    for i in range(blocks):
+        own = t if blocks == 1 else t.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        yield t.sparkSession.sparkContext.broadcast(Questions.of(own.toArrow())), kind  # about BLOCK_TERMS terms
+
+
+@dataclass
+class Questions:
+    """A block of queries: their terms, and for each of these where its queries and weights stand."""
+
+    ids: pa.Array
+    terms: pa.Array
+    first: np.ndarray
+    query: np.ndarray
+    weight: np.ndarray
+    qw: np.ndarray
+
+    @classmethod
+    def of(cls, t: pa.Table) -> Questions:
+        t = t.combine_chunks()
+        ids, terms = (pc.dictionary_encode(t.column(c).combine_chunks() if isinstance(t.column(c), pa.ChunkedArray) else t.column(c)) for c in ("query_id", "term"))
+        q, at = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64), terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.lexsort((q, at))
+        first = np.searchsorted(at[order], np.arange(len(terms.dictionary) + 1))
+        return cls(ids.dictionary, terms.dictionary.cast(pa.string()), first, q[order], t.column("weight").to_numpy()[order], t.column("qw").to_numpy()[order])
+
+    def best(self, batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+        """The ``size`` best of all chunks in ``batches`` for each query, by either score; only scores above 0."""
+        n = len(self.ids)
+        kept = [(np.zeros((n, 0)), np.zeros((n, 0), dtype=np.int64)) for _ in range(2)]
+        step = max(1, BLOCK_SCORES // max(1, n))
+        for b in batches:
+            for a in range(0, b.num_rows if n and size else 0, step):
+                part = b.slice(a, step)
+                chunk = part.column(0).to_numpy().astype(np.int64)
+                column = np.argsort(chunk, kind="stable")
+                place = np.empty(len(column), dtype=np.int64)
+                place[column] = np.arange(len(column))
+                for k, m in enumerate(self._scores(part, place)):
+                    score, at = np.concatenate([kept[k][0], m], axis=1), np.concatenate([kept[k][1], np.broadcast_to(chunk[column], m.shape)], axis=1)
+                    kept[k] = _leading(score, at, size)
+        for own, (score, at) in zip((True, False), kept):
+            q, j = np.nonzero(score > 0)
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(q)), pa.array(at[q, j].astype(np.int32)), pa.array(score[q, j]), pa.array(np.full(len(q), own))], names=["query_id", "chunk_index", "score", "own"])
+
+    def every(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first score of all queries and all chunks in ``batches``."""
+        n = len(self.ids)
+        for b in batches:
+            for a in range(0, b.num_rows if n else 0, max(1, (1 << 16) // n)):
+                part = b.slice(a, max(1, (1 << 16) // n))
+                score, _ = self._scores(part, np.arange(part.num_rows))
+                q = np.repeat(np.arange(n), part.num_rows)
+                yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(q)), part.column(0).take(pa.array(np.tile(np.arange(part.num_rows), n))), pa.array(score.reshape(-1))], names=["query_id", "chunk_index", "score"])
+
+    def _scores(self, part: pa.RecordBatch, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matrices of the scores of all queries and chunks of ``part``, chunks in the order of ``place``."""
+        n, c = len(self.ids), part.num_rows
+        term = pc.index_in(part.column(1).flatten().cast(pa.string()), value_set=self.terms)
+        known = pc.is_valid(term).to_numpy(zero_copy_only=False)
+        column = np.repeat(place, pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False))[known]
+        term = term.drop_null().to_numpy().astype(np.int64)
+        count = self.first[term + 1] - self.first[term]
+        entry = np.repeat(self.first[term] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(term) else np.zeros(0, np.int64)
+        cell = self.query[entry] * c + np.repeat(column, count)
+        out = []
+        for values, own in ((part.column(2), self.weight), (part.column(3), self.qw)):
+            x = np.repeat(values.flatten().to_numpy()[known], count) * own[entry]
+            out.append(np.round(np.bincount(cell, weights=x, minlength=n * c).astype(np.float64).reshape(n, c), PLACES))
+        return out[0], out[1]
+
+
+def _leading(score: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``size`` greatest of each line; of equal ones those of least ``at``."""
+    if score.shape[1] > 4 * size:  # what lies under the last place cannot be in it
+        last = np.partition(score, score.shape[1] - size, axis=1)[:, -size]
+        width = max(size, int((score >= np.maximum(last, 1e-300)[:, None]).sum(axis=1).max()))
+        if width < score.shape[1]:
+            some = np.argpartition(-score, width - 1, axis=1)[:, :width]
+            score, at = np.take_along_axis(score, some, axis=1), np.take_along_axis(at, some, axis=1)
+    order = np.argsort(at, axis=1, kind="stable")
+    score, at = np.take_along_axis(score, order, axis=1), np.take_along_axis(at, order, axis=1)
+    order = np.argsort(-score, axis=1, kind="stable")[:, :size]
+    return np.take_along_axis(score, order, axis=1), np.take_along_axis(at, order, axis=1)
+
+
 def pairwise_similarity(index: Index, pairs: DataFrame) -> DataFrame:
     """``(a, b, sim)`` for ``pairs(a, b)`` of chunks: cosine, exactly 1 for a chunk with itself."""
     v = index.postings.select("chunk_index", "term", "w")
@@ -86,14 +209,13 @@ def fuse(bm25: DataFrame, vector: DataFrame, rrf_k: int = 60) -> DataFrame:
     return b.join(v, ["query_id", "chunk_index"], "full_outer").withColumn("score", F.round(part("bm25_rank") + part("vector_rank"), PLACES))
 
 
-def pool(index: Index, method: str, size: int, rrf_k: int, bm25: DataFrame, vector: DataFrame) -> DataFrame:
-    """Candidates ``(query_id, chunk_index, score, pool_rank, bm25_rank, vector_rank)`` from scored chunks.
+def pool(method: str, rrf_k: int, b: DataFrame, v: DataFrame, size: int) -> DataFrame:
+    """Candidates ``(query_id, chunk_index, score, pool_rank, bm25_rank, vector_rank)`` from both ranked lists.
 
-    Both lists are cut to ``size`` whatever the method; a fused pool can hold up to twice as many.
+    Both lists hold ``size`` chunks whatever the method; a fused pool can hold up to twice as many.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    b, v = top(bm25, size), top(vector, size)
     p = fuse(b, v, rrf_k)
     if method != HYBRID:
         own = (b if method == "bm25" else v).select("query_id", "chunk_index", F.col("score").alias("own"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from .functions.text import STOP_WORDS
 from .operators.faithfulness import MEASURES
-from .queries import HEADINGS
+from .operators.evaluation import parse_settings
+from .queries import HEADINGS, LAMBDAS, SETTINGS
 
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _RUN, _GAP = "[0-9a-z]+", r"[\t ]"
@@ -145,7 +148,7 @@ LEFT JOIN (SELECT method, query_id, min(rank) AS best FROM ranked3 JOIN gold USI
     ),
     "answers": (
         "q res best",
-        "SELECT q.query_id, coalesce(b.text, t.text, 'No relevant passage was found in the knowledge base.') AS text, coalesce(b.d, CASE WHEN t.doc_id IS NULL THEN [] ELSE [t.doc_id] END) AS cites, coalesce(b.c, CASE WHEN t.doc_id IS NULL THEN [] ELSE [t.chunk_id] END) AS support FROM q LEFT JOIN (SELECT * FROM res WHERE rank = 1) t USING (query_id) LEFT JOIN (SELECT query_id, string_agg(sentence, chr(10) ORDER BY r) AS text, list(doc_id ORDER BY r) AS d, list(chunk_id ORDER BY r) AS c FROM best GROUP BY ALL) b USING (query_id)",
+        "SELECT q.query_id, coalesce(b.text, t.text, 'Nothing in these documents answers the question.') AS text, coalesce(b.d, CASE WHEN t.doc_id IS NULL THEN [] ELSE [t.doc_id] END) AS cites, coalesce(b.c, CASE WHEN t.doc_id IS NULL THEN [] ELSE [t.chunk_id] END) AS support FROM q LEFT JOIN (SELECT * FROM res WHERE rank = 1) t USING (query_id) LEFT JOIN (SELECT query_id, string_agg(sentence, chr(10) ORDER BY r) AS text, list(doc_id ORDER BY r) AS d, list(chunk_id ORDER BY r) AS c FROM best GROUP BY ALL) b USING (query_id)",
     ),
     "uniq": (
         "answers",
@@ -173,6 +176,60 @@ LEFT JOIN (SELECT query_id, k, sum(gain / log2(r + 1)) AS idcg FROM (SELECT quer
     )
 
 
+_SETTINGS = [(i, n, e.feedback_terms, e.original_weight) for i, (n, e) in enumerate(parse_settings(SETTINGS))]
+_LAMBDAS = [(f"{x:g}", x) for x in LAMBDAS if x is not None]
+_RUN, _OWN = "split_part(query_id, chr(31), 1)::INT", "split_part(query_id, chr(31), 2)"
+
+
+def _slices(ranked: str, names: list[str]) -> str:
+    """The step ``slices`` for other runs than the three methods."""
+    return STEPS["slices"][1].replace("ranked3", ranked).replace("['hybrid', 'bm25', 'vector']", str(names))
+
+
+_value = STEPS["rm"][1].split(" FROM (SELECT", 1)[1].rsplit(" WHERE value > 0", 1)[0]
+STEPS |= {
+    # expansion settings: query ids carry the number of the setting
+    "xset": ("", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {t}, {a!r}::DOUBLE)" for i, n, t, a in _SETTINGS) + ") t(i, setting, terms, alpha)"),
+    "rmv": (STEPS["rm"][0], f"SELECT query_id, term, value, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, term) AS r FROM (SELECT{_value} WHERE value > 0"),
+    "srm": ("rmv xset", "SELECT i || chr(31) || query_id AS query_id, term, alpha, value / sum(value) OVER (PARTITION BY i, query_id) AS weight FROM rmv JOIN xset ON r <= terms AND alpha < 1"),
+    "sq": ("srm qt xset", "SELECT i || chr(31) || query_id AS query_id, term, alpha * qtf / sum(qtf) OVER (PARTITION BY i, query_id) AS weight FROM qt CROSS JOIN xset WHERE i || chr(31) || query_id IN (SELECT query_id FROM srm) UNION ALL SELECT query_id, term, (1 - alpha) * weight FROM srm"),
+    "sv": ("sq terms", STEPS["xv"][1].replace("xw", "sq")),
+    "sb25": ("sq postings", _top(f"({_bm25('sq')})", 25)),
+    "sv25": ("sv postings", _top(f"({_cosine('sv')})", 25)),
+    "spool": ("sb25 sv25", STEPS["xpool"][1].replace("xb25", "sb25").replace("xv25", "sv25")),
+    "ranked_s": (
+        "spool pool srm xset chunks",
+        f"SELECT setting AS method, {_OWN} AS query_id, item, rank FROM (SELECT query_id, doc_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY min(pool_rank)) AS rank FROM (SELECT query_id, chunk_index, pool_rank FROM spool UNION ALL SELECT i || chr(31) || query_id, chunk_index, pool_rank FROM pool CROSS JOIN xset WHERE i || chr(31) || query_id NOT IN (SELECT query_id FROM srm)) JOIN chunks USING (chunk_index) WHERE pool_rank <= 20 GROUP BY query_id, doc_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY min(pool_rank)) <= 5) JOIN xset ON i = {_RUN}",
+    ),
+    "slices_s": ("ranked_s gold q ks", _slices("ranked_s", [n for _, n, *_ in _SETTINGS])),
+    # marginal relevance: one more chunk a round
+    "rel": ("pool", "SELECT *, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS relevance FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM pool)"),
+    "psims": ("pool postings", "SELECT x.query_id, x.chunk_index AS a, y.chunk_index AS b, round(sum(m.w * n.w), 10) AS sim FROM pool x JOIN pool y ON x.query_id = y.query_id AND x.chunk_index <> y.chunk_index JOIN postings m ON m.chunk_index = x.chunk_index JOIN postings n ON n.chunk_index = y.chunk_index AND n.term = m.term GROUP BY ALL"),
+    "mmr": (
+        "rel psims",
+        f"""SELECT lam, query_id, 0, []::INT[] FROM (SELECT DISTINCT query_id FROM pool) CROSS JOIN (SELECT unnest({[x for _, x in _LAMBDAS]})::DOUBLE AS lam)
+UNION ALL
+SELECT lam, query_id, step + 1, list_append(chosen, (min({{'v': -val, 'r': pool_rank, 'c': chunk_index}})).c) FROM (SELECT m.lam, m.query_id, m.step, m.chosen, p.chunk_index, p.pool_rank, round(m.lam * p.relevance - (1 - m.lam) * coalesce(max(s.sim), 0), 10) AS val FROM mmr m JOIN rel p ON p.query_id = m.query_id AND NOT list_contains(m.chosen, p.chunk_index) LEFT JOIN psims s ON s.query_id = m.query_id AND s.a = p.chunk_index AND list_contains(m.chosen, s.b) WHERE m.step < 20 GROUP BY ALL) GROUP BY lam, query_id, step, chosen""",
+    ),
+    "mmrs": ("mmr", "SELECT lam, query_id, unnest(chosen) AS chunk_index, unnest(range(1, len(chosen) + 1)) AS place FROM (SELECT * FROM mmr QUALIFY row_number() OVER (PARTITION BY lam, query_id ORDER BY step DESC) = 1)"),
+    "lams": ("", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {x!r}::DOUBLE)" for n, x in _LAMBDAS) + ") t(setting, lam)"),
+    "places": ("mmrs lams pool", "SELECT setting AS method, query_id, chunk_index, place FROM mmrs JOIN lams USING (lam) UNION ALL SELECT 'off', query_id, chunk_index, pool_rank FROM pool"),
+    "ranked_d": ("places chunks", "SELECT method, query_id, doc_id AS item, row_number() OVER (PARTITION BY method, query_id ORDER BY min(place)) AS rank FROM places JOIN chunks USING (chunk_index) WHERE place <= 20 GROUP BY method, query_id, doc_id QUALIFY row_number() OVER (PARTITION BY method, query_id ORDER BY min(place)) <= 5"),
+    "slices_d": ("ranked_d gold q ks", _slices("ranked_d", ["off", *(n for n, _ in _LAMBDAS)])),
+    "spread": (
+        "places psims chunks q",
+        "SELECT method, q.query_id, coalesce(red, 0) AS redundancy, coalesce(docs, 0) AS docs FROM q CROSS JOIN (SELECT DISTINCT method FROM places) LEFT JOIN (SELECT method, query_id, count(DISTINCT doc_id) AS docs FROM places JOIN chunks USING (chunk_index) WHERE place <= 5 GROUP BY ALL) USING (method, query_id) LEFT JOIN (SELECT x.method, x.query_id, round(sum(sim) / (max(n) * (max(n) - 1) / 2), 9) AS red FROM (SELECT *, count(*) OVER (PARTITION BY method, query_id) AS n FROM places WHERE place <= 5) x JOIN places y ON x.method = y.method AND x.query_id = y.query_id AND x.chunk_index < y.chunk_index AND y.place <= 5 JOIN psims s ON s.query_id = x.query_id AND s.a = x.chunk_index AND s.b = y.chunk_index GROUP BY ALL) USING (method, query_id)",
+    ),
+    # answers from several numbers of results
+    "kq": ("q", "SELECT k || chr(31) || query_id AS query_id, question FROM q CROSS JOIN (SELECT unnest([3, 4, 5]) AS k)"),
+    "kres": ("found", "SELECT k || chr(31) || query_id AS query_id, rank, doc_id, chunk_id, text FROM found JOIN (SELECT unnest([3, 4, 5]) AS k) ON rank <= k"),
+}
+_K = r"\b(q|res|tw|rs|ss|best|answers|uniq|asents|support)\b"
+for _n in ("tw", "rs", "ss", "best", "answers", "uniq", "asents", "support", "faith"):
+    STEPS["k" + _n] = (re.sub(_K, r"k\1", STEPS[_n][0]), re.sub(_K, r"k\1", STEPS[_n][1]))
+_RECURSIVE = {"spans": "(doc_id, ord, a, j)", "mmr": "(lam, query_id, step, chosen)"}
+
+
 def build(tail: str, needs: str) -> str:
     """A statement of the steps that ``needs`` and what they need in turn, then ``tail``."""
     order: list[str] = []
@@ -185,13 +242,18 @@ def build(tail: str, needs: str) -> str:
 
     for n in needs.split():
         visit(n)
-    parts = [f"{n}{'(doc_id, ord, a, j)' if n == 'spans' else ''} AS {'' if n == 'spans' else 'MATERIALIZED '}({STEPS[n][1]})" for n in order]
+    parts = [f"{n}{_RECURSIVE.get(n, '')} AS {'' if n in _RECURSIVE else 'MATERIALIZED '}({STEPS[n][1]})" for n in order]
     return (f"WITH RECURSIVE {','.join(parts)} " if parts else "") + tail
 
 
 def _headings() -> str:
-    rows = ", ".join("({}, '{}')".format(i, h.replace("\n", "' || chr(10) || '")) for i, h in enumerate(HEADINGS))
-    return f"SELECT i::INT AS i, regexp_full_match({_strip('line')}, '{_HEAD}') AS heading FROM (VALUES {rows}) t(i, line)"
+    rows = ", ".join("('made {}', ['{}'])".format(i, h.replace("\n", "' || chr(10) || '")) for i, h in enumerate(HEADINGS))
+    return f"SELECT doc_id, len(lines)::INT AS n_lines, len(list_filter(lines, lambda l: regexp_full_match({_strip('l')}, '{_HEAD}')))::INT AS n_headings FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM docs UNION ALL SELECT * FROM (VALUES {rows}) t(doc_id, lines))"
+
+
+def _report(source: str, label: str) -> str:
+    means = ", ".join(f"round(avg({c}), 6)::DOUBLE AS {n}" for c, n in (("hit", "hit"), ("recall", "recall"), ("precision", "precision"), ("ndcg", "ndcg"), ("rr", "mrr")))
+    return f"SELECT coalesce(difficulty, 'all') AS slice, k, count(*) AS queries, {means}, method AS {label} FROM {source} GROUP BY GROUPING SETS ((method, k), (method, k, difficulty))"
 
 
 def _list(source: str) -> tuple[str, str]:
@@ -208,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
         "normalize": (f"SELECT doc_id, md5({_norm('text')}) AS normal_md5 FROM docs", "docs"),
         "tokenize": (f"SELECT doc_id, len(t)::INT AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_tok('text')} AS t FROM docs)", "docs"),
         "tokenize_nostop": (f"SELECT doc_id, len(t)::INT AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, list_filter({_tok('text')}, lambda w: NOT list_contains({_STOP}, w)) AS t FROM docs)", "docs"),
-        "headings": (_headings(), ""),
+        "headings": (_headings(), "docs"),
         "sentences": ("SELECT doc_id, sent_idx::INT AS sent_idx, sentence, n::INT AS n_tokens FROM sents", "sents"),
         "chunks": ("SELECT * FROM chunks", "chunks"),
         "chunk_stats": ("SELECT (SELECT count(*) FROM docs) AS documents, count(*) AS chunks, (SELECT count(*) FROM terms) AS vocabulary, round(coalesce(avg(len), 0), 6) AS mean_tokens, coalesce(min(len), 0)::DOUBLE AS min_tokens, coalesce(max(len), 0)::DOUBLE AS max_tokens FROM lengths", "docs terms lengths"),
@@ -250,11 +312,24 @@ def oracle_sql() -> dict[str, str]:
         "ndcg_at_k": ("SELECT query_id, k, round(ndcg, 6)::DOUBLE AS ndcg FROM ndcg", "ndcg"),
         "ndcg_graded": ("SELECT query_id, k, round(ndcg, 6)::DOUBLE AS ndcg FROM ndcg2", "ndcg2"),
         "mrr": ("SELECT query_id, round(rr, 6)::DOUBLE AS rr FROM rr", "rr"),
-        "metric_slices": (
-            "SELECT coalesce(difficulty, 'all') AS slice, k, count(*) AS queries, " + ", ".join(f"round(avg({c}), 6)::DOUBLE AS {n}" for c, n in (("hit", "hit"), ("recall", "recall"), ("precision", "precision"), ("ndcg", "ndcg"), ("rr", "mrr"))) + ", method FROM slices GROUP BY GROUPING SETS ((method, k), (method, k, difficulty))",
-            "slices",
+        "metric_slices": (_report("slices", "method"), "slices"),
+        "expansion_report": (_report("slices_s", "setting"), "slices_s"),
+        "diversity_report": (
+            f"SELECT setting, k, queries, hit, mrr, redundancy, distinct_docs FROM ({_report('slices_d', 'setting')}) JOIN (SELECT method AS setting, round(avg(redundancy), 6)::DOUBLE AS redundancy, round(avg(docs), 6)::DOUBLE AS distinct_docs FROM spread GROUP BY ALL) USING (setting) WHERE slice = 'all' AND k IN (1, 5)",
+            "slices_d spread",
+        ),
+        "faithfulness_report": (
+            f"SELECT {_RUN} AS k, count(*) AS queries, " + ", ".join(f"round(avg(round({c}, 9)), 6)::DOUBLE AS {c}" for c in MEASURES) + f", round(avg(y), 6)::DOUBLE AS cited_gold FROM kfaith JOIN (SELECT u.query_id, max((g.item IS NOT NULL)::INT) AS y FROM (SELECT query_id, unnest(list_append(cites, NULL)) AS item FROM kuniq) u LEFT JOIN gold g ON g.query_id = {_OWN.replace('query_id', 'u.query_id')} AND g.item = u.item GROUP BY ALL) USING (query_id) GROUP BY ALL",
+            "kfaith kuniq gold",
+        ),
+        "mmr_topk": ("SELECT query_id, place::INT AS mmr_rank, chunk_index, round(score, 6) AS score FROM mmrs JOIN pool USING (query_id, chunk_index) WHERE lam = 0.7 AND place <= 5", "mmrs pool"),
+        "gold_summary": ("SELECT count(*) AS questions, count(*) FILTER (WHERE n > 1) AS multiple FROM (SELECT query_id, count(DISTINCT item) AS n FROM gold GROUP BY ALL)", "gold"),
+        "dense_scores": ("SELECT query_id, n AS chunks, n - count(score) AS zeros, round(coalesce(sum(score), 0), 4) AS total FROM q CROSS JOIN stats LEFT JOIN bm25 USING (query_id) GROUP BY query_id, n", "q stats bm25"),
+        "answer_fallbacks": (
+            "SELECT query_id, CASE WHEN query_id::BIGINT % 2 = 1 THEN r.text ELSE 'Nothing in these documents answers the question.' END AS text, CASE WHEN query_id::BIGINT % 2 = 1 THEN r.doc_id ELSE '' END AS citations, CASE WHEN query_id::BIGINT % 2 = 1 THEN r.chunk_id ELSE '' END AS supporting_chunks FROM q LEFT JOIN (SELECT * FROM res WHERE rank = 1) r USING (query_id)",
+            "q res",
         ),
-        "misses_partials": ("SELECT query_id, CASE WHEN hit = 0 THEN 'miss' ELSE 'partial' END AS outcome FROM metrics WHERE k = 5 AND recall < 1 AND query_id IN (SELECT query_id FROM gold)", "metrics gold"),
+        "misses_partials": ("SELECT query_id, CASE WHEN hit = 0 THEN 'miss' ELSE 'partial' END AS outcome FROM metrics WHERE k = 1 AND recall < 1 AND query_id IN (SELECT query_id FROM gold)", "metrics gold"),
         "supporting_docs": ("SELECT query_id, pos, doc_id FROM support", "support"),
         "faithfulness": ("SELECT query_id, round(sentence_grounding, 9) AS sentence_grounding, round(token_grounding, 9) AS token_grounding, round(citation_precision, 9) AS citation_precision, round(citation_recall, 9) AS citation_recall FROM faith", "faith"),
         "faithfulness_mean": ("SELECT " + ", ".join(f"round(coalesce(avg({c}), 0), 6) AS {c}" for c in MEASURES) + " FROM faith", "faith"),

@@ -19,13 +19,18 @@ _written: dict[str, list[str]] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
-    Where that is unset: the warehouse on a cluster, a temporary folder in a local session.
+    Where that is unset: the warehouse on a cluster, if it is no folder of one machine; a temporary
+    folder in a local session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quillstone"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(warehouse)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return f"{warehouse}/quillstone"
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="quillstone-")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .engine import Engine, EngineConfig
 from .functions import text as tx
 from .operators import answer as ans
+from .operators import evaluation as ev
 from .operators import expansion as ex
 from .operators import faithfulness as fa
 from .operators import metrics as me
@@ -24,6 +25,7 @@ from .operators import search as rs
 from .operators.chunking import chunk
 from .operators.index import build_index, chunk_lengths, term_frequencies
 from .plans.materialize import materialize, shared_folder
+from .plans.spread import spread
 from .sources import store
 
 PRF = ex.ExpansionConfig(5, 5, 0.8)
@@ -55,7 +57,7 @@ def setup(spark: SparkSession, d: str) -> Setup:
     if key not in _kept:
         docs, q = documents(spark, d), questions(spark, d)
         of = lambda t, i, x: t.select(i, F.explode(F.array_distinct(F.filter(tx.sentences(F.col(x)), lambda s: F.size(tx.tokens(s)) > 3))).alias("sentence"))
-        gold = of(q, "query_id", "question").join(of(docs, "doc_id", "text"), "sentence").select("query_id", F.col("doc_id").alias("item")).distinct()
+        gold = of(q, "query_id", "question").join(of(spread(docs, "doc_id"), "doc_id", "text"), "sentence").select("query_id", F.col("doc_id").alias("item")).distinct()
         _kept[key] = Setup(Engine(docs, EngineConfig()), q, materialize(gold))
     return _kept[key]
 
@@ -65,29 +67,31 @@ def r6(c: str):
 
 
 def q_normalize(spark, d):
-    return documents(spark, d).select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("normal_md5"))
+    return spread(documents(spark, d), "doc_id").select("doc_id", F.md5(tx.normalize(F.col("text"))).alias("normal_md5"))
 
 
 def q_tokenize(spark, d):
     t = tx.tokens(F.col("text"))
-    return documents(spark, d).select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+    return spread(documents(spark, d), "doc_id").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
 def q_tokenize_nostop(spark, d):
     t = tx.without_stop_words(tx.tokens(F.col("text")))
-    return documents(spark, d).select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+    return spread(documents(spark, d), "doc_id").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
 HEADINGS = ("# One", "###### Six", "####### Seven", "#tag", "   ## Three blanks", "    # Four blanks", "plain", "#  ", "## Two\nlines")
 
 
 def q_headings(spark, d):
-    rows = spark.createDataFrame(list(enumerate(HEADINGS)), "i int, line string")
-    return rows.select("i", tx.is_heading(F.col("line")).alias("heading"))
+    """Lines and headings of every document, and of a few lines made for it."""
+    made = spark.createDataFrame([(f"made {i}", h) for i, h in enumerate(HEADINGS)], "doc_id string, line string").select("doc_id", F.array("line").alias("lines"))
+    every = spread(documents(spark, d), "doc_id").select("doc_id", F.split("text", "\n").alias("lines")).unionByName(made)
+    return every.select("doc_id", F.size("lines").alias("n_lines"), F.size(F.filter("lines", tx.is_heading)).alias("n_headings"))
 
 
 def q_sentences(spark, d):
-    s = documents(spark, d).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent_idx", "sentence"))
+    s = spread(documents(spark, d), "doc_id").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent_idx", "sentence"))
     return s.select("doc_id", "sent_idx", "sentence", F.size(tx.tokens(F.col("sentence"))).alias("n_tokens"))
 
 
@@ -128,10 +132,6 @@ def _bm25(s: Setup) -> DataFrame:
     return rs.bm25_scores(s.engine.index, rs.as_weights(rs.query_terms(s.queries)))
 
 
-def _vector(s: Setup) -> DataFrame:
-    return rs.vector_scores(s.engine.index, rs.query_vectors(s.engine.index, rs.query_terms(s.queries)))
-
-
 def _list(t: DataFrame) -> DataFrame:
     return t.select("query_id", "rank", "chunk_index", r6("score"))
 
@@ -140,12 +140,21 @@ def q_bm25_scores(spark, d):
     return _bm25(setup(spark, d)).groupBy("query_id").agg(F.count("*").alias("chunks"), F.round(F.sum("score"), 4).alias("total"), F.round(F.max("score"), 6).alias("best"))
 
 
+def q_dense_scores(spark, d):
+    """Every chunk for every question, zeros included, as one line per question."""
+    s = setup(spark, d)
+    every = rs.dense_scores(s.engine.index, rs.as_weights(rs.query_terms(s.queries)))
+    return every.groupBy("query_id").agg(F.count("*").alias("chunks"), F.count_if(F.col("score") == 0).alias("zeros"), F.round(F.sum("score"), 4).alias("total"))
+
+
 def q_bm25_topk(spark, d):
-    return _list(rs.top(_bm25(setup(spark, d)), 10))
+    s = setup(spark, d)
+    return _list(s.engine._lists(s.queries, 10)[0])
 
 
 def q_tfidf_topk(spark, d):
-    return _list(rs.top(_vector(setup(spark, d)), 10))
+    s = setup(spark, d)
+    return _list(s.engine._lists(s.queries, 10)[1])
 
 
 def _weights(s: Setup) -> DataFrame:
@@ -154,17 +163,17 @@ def _weights(s: Setup) -> DataFrame:
 
 def q_bm25_weighted_topk(spark, d):
     s = setup(spark, d)
-    return _list(rs.top(rs.bm25_scores(s.engine.index, _weights(s)), 10))
+    return _list(s.engine._lists(s.queries, 10, _weights(s))[0])
 
 
 def q_tfidf_weighted_topk(spark, d):
     s = setup(spark, d)
-    return _list(rs.top(rs.vector_scores(s.engine.index, rs.weighted_vectors(s.engine.index, _weights(s))), 10))
+    return _list(s.engine._lists(s.queries, 10, _weights(s))[1])
 
 
 def q_rrf_fusion(spark, d):
     s = setup(spark, d)
-    return rs.fuse(rs.top(_bm25(s), 25), rs.top(_vector(s), 25)).select("query_id", "chunk_index", r6("score"), "bm25_rank", "vector_rank")
+    return rs.fuse(*s.engine._lists(s.queries, 25)).select("query_id", "chunk_index", r6("score"), "bm25_rank", "vector_rank")
 
 
 def q_search(spark, d):
@@ -295,20 +304,52 @@ def q_mrr(spark, d):
     return me.reciprocal_rank(s.queries, _ranked(s), s.gold).select("query_id", r6("rr"))
 
 
+def _levels(s: Setup) -> DataFrame:
+    return s.queries.withColumn("difficulty", F.when(F.length("question") < 200, F.lit("short")).otherwise(F.lit("long")))
+
+
 def q_metric_slices(spark, d):
     s = setup(spark, d)
-    q = s.queries.withColumn("difficulty", F.when(F.length("question") < 200, F.lit("short")).otherwise(F.lit("long")))
-    runs = None
-    for method in rs.METHODS:
-        ranked = s.engine.ranked_doc_ids(s.queries, K, method).withColumnRenamed("doc_id", "item")
-        one = me.aggregate(q, ranked, s.gold, by=("difficulty",)).withColumn("method", F.lit(method))
-        runs = one if runs is None else runs.unionByName(one)
-    return runs
+    return ev.method_report(s.engine, _levels(s), s.gold, K, by=("difficulty",))
+
+
+SETTINGS = "5:1.0,3:0.9,5:0.8,10:0.8,5:0.7"
+LAMBDAS = (None, 1.0, 0.9, 0.7, 0.5, 0.3)
+
+
+def q_expansion_report(spark, d):
+    s = setup(spark, d)
+    return ev.expansion_report(s.engine, _levels(s), s.gold, ev.parse_settings(SETTINGS), K, by=("difficulty",))
+
+
+def q_diversity_report(spark, d):
+    s = setup(spark, d)
+    return ev.diversity_report(s.engine, s.queries, s.gold, LAMBDAS, K)
+
+
+def q_faithfulness_report(spark, d):
+    s = setup(spark, d)
+    return ev.faithfulness_report(s.engine, s.queries, s.gold)
+
+
+def q_gold_summary(spark, d):
+    return ev.describe(setup(spark, d).gold)
 
 
 def q_misses_partials(spark, d):
+    """At the first place, where most items that occur in several documents are found in part."""
+    s = setup(spark, d)
+    return me.misses_partials(s.queries, _ranked(s), s.gold, 1)
+
+
+def q_answer_fallbacks(spark, d):
+    """Questions of a word that no document holds: half of them with results, of which none scores, half without any."""
     s = setup(spark, d)
-    return me.misses_partials(s.queries, _ranked(s), s.gold, K)
+    odd = F.col("query_id").cast("bigint") % 2 == 1
+    q = s.queries.select("query_id", F.concat(F.lit("zq"), F.md5("question")).alias("question"))
+    a = ans.extractive(q, _results(s).where(odd))
+    j = lambda c: F.array_join(c, "|").alias(c)
+    return a.select("query_id", "text", j("citations"), j("supporting_chunks"))
 
 
 def q_supporting_docs(spark, d):
@@ -335,7 +376,7 @@ def q_weakest_answers(spark, d):
 
 
 def q_fingerprint(spark, d):
-    return spark.createDataFrame([(store.fingerprint(documents(spark, d), 120, 30),)], "fingerprint string")
+    return store.fingerprint_row(documents(spark, d), 120, 30)
 
 
 def q_index_roundtrip(spark, d):

@@ -34,9 +34,17 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """``(query_id, question, relevant, difficulty)`` from JSON lines; difficulty defaults to "easy"."""
-    g = spark.read.schema("id string, question string, relevant array<string>, difficulty string").json(path)
-    g = g.where(F.col("id").isNotNull()).select(F.col("id").alias("query_id"), "question", "relevant", F.coalesce("difficulty", F.lit("easy")).alias("difficulty"))
+    """``(query_id, question, relevant, difficulty)`` from JSON lines; difficulty defaults to "easy".
+
+    Blank lines are passed over; a line that is no JSON object with id, question and relevant documents is an error.
+    """
+    lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    g = lines.select("value", F.from_json("value", "id string, question string, relevant array<string>, difficulty string").alias("g"))
+    whole = F.col("g").isNotNull() & F.col("g.id").isNotNull() & F.col("g.question").isNotNull() & F.col("g.relevant").isNotNull()
+    bad = g.where(~whole).select("value").first()
+    if bad is not None:
+        raise ValueError(f"no gold question: {bad[0][:200]}")
+    g = g.select(F.col("g.id").alias("query_id"), "g.question", "g.relevant", F.coalesce("g.difficulty", F.lit("easy")).alias("difficulty"))
     if g.isEmpty():
         raise ValueError(f"no questions found in {path}")
     return g

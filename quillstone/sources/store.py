@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.index import Index, IndexConfig
 
-FORMAT, VERSION = "quillstone-index", 1
-TABLES = ("documents", "chunks", "lengths", "terms", "postings", "stats")
+FORMAT, VERSION = "quillstone-index", 2
+TABLES = ("documents", "chunks", "lengths", "terms", "postings", "vectors", "stats")
 
 
 class IndexFormatError(ValueError):
@@ -24,7 +24,11 @@ class StaleIndexError(ValueError):
 
 
 def fingerprint(documents: DataFrame, target: int, overlap: int) -> str:
-    """SHA-256 of all (doc_id, text) pairs, whatever their order, and of the chunk sizes.
+    return fingerprint_row(documents, target, overlap).first()[0]
+
+
+def fingerprint_row(documents: DataFrame, target: int, overlap: int) -> DataFrame:
+    """One row ``(fingerprint)``: SHA-256 of all (doc_id, text) pairs, whatever their order, and of the chunk sizes.
 
     Row digests are summed by parts modulo 2**64, so nothing is collected.
     """
@@ -33,7 +37,7 @@ def fingerprint(documents: DataFrame, target: int, overlap: int) -> str:
     d = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     r = d.agg(F.count("*").cast("string").alias("n"), *[p.alias(f"p{i}") for i, p in enumerate(part)])
     names = ["n", *(f"p{i}" for i in range(8))]
-    return r.select(F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in names], F.lit(str(target)), F.lit(str(overlap))), 256)).first()[0]
+    return r.select(F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in names], F.lit(str(target)), F.lit(str(overlap))), 256).alias("fingerprint"))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -42,25 +46,36 @@ def _fs(spark: SparkSession, path: str):
 
 
 def save(path: str, documents: DataFrame, index: Index, config: dict) -> None:
-    """Write beside ``path`` under a name of its own, then rename; an old index there is replaced."""
+    """Write beside ``path`` under a name of its own, then rename; an old index there is replaced.
+
+    What is no index is never replaced.  The old index is moved aside before the new one takes its
+    place, and is moved back if that fails.
+    """
     spark = documents.sparkSession
     fs, final = _fs(spark, path)
+    if fs.exists(final) and not (fs.getFileStatus(final).isDirectory() and not list(fs.listStatus(final))):
+        _manifest(spark, path)
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    tables = {"documents": documents, "chunks": index.chunks, "lengths": index.lengths, "terms": index.terms, "postings": index.postings, "stats": index.stats}
+    tables = {"documents": documents, "chunks": index.chunks, "lengths": index.lengths, "terms": index.terms, "postings": index.postings, "vectors": index.vectors, "stats": index.stats}
     for name in TABLES:
         tables[name].write.parquet(f"{staging}/{name}")
     n = index.chunks.count()
     manifest = {"config": config, "format": FORMAT, "fingerprint": fingerprint(documents, config["target_tokens"], config["overlap_tokens"]), "version": VERSION, "index": asdict(index.config), "chunks": n, "schemas": {t: tables[t].schema.jsonValue() for t in TABLES}}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{staging}/manifest")
     _, there = _fs(spark, staging)
-    if fs.exists(final):
-        fs.delete(final, True)
+    _, aside = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    old = fs.exists(final)
+    if old and not fs.rename(final, aside):
+        raise OSError(f"cannot move the old index at {path} aside")
     if not fs.rename(there, final):
+        if old:
+            fs.rename(aside, final)
         raise OSError(f"cannot move the index to {path}")
+    if old:
+        fs.delete(aside, True)
 
 
-def load(spark: SparkSession, path: str, expected: str | None = None) -> tuple[DataFrame, Index, dict]:
-    """``(documents, index, config)``; nothing is fitted again.  ``expected``: fingerprint to hold it against."""
+def _manifest(spark: SparkSession, path: str) -> dict:
     fs, p = _fs(spark, f"{path.rstrip('/')}/manifest")
     if not fs.exists(p):
         raise IndexFormatError(f"{path} holds no index")
@@ -70,6 +85,12 @@ def load(spark: SparkSession, path: str, expected: str | None = None) -> tuple[D
         raise IndexFormatError(f"{path}: the manifest is not JSON") from e
     if not isinstance(m, dict) or m.get("format") != FORMAT:
         raise IndexFormatError(f"{path} holds no index of this format")
+    return m
+
+
+def load(spark: SparkSession, path: str, expected: str | None = None) -> tuple[DataFrame, Index, dict]:
+    """``(documents, index, config)``; nothing is fitted again.  ``expected``: fingerprint to hold it against."""
+    m = _manifest(spark, path)
     if m.get("version") != VERSION:
         raise IndexFormatError(f"{path}: version {m.get('version')} is not supported")
     if expected is not None and expected != m["fingerprint"]:
@@ -79,4 +100,4 @@ def load(spark: SparkSession, path: str, expected: str | None = None) -> tuple[D
     t = {name: spark.read.schema(StructType.fromJson(m["schemas"][name])).parquet(f"{path}/{name}") for name in TABLES}
     if t["lengths"].count() != m["chunks"]:
         raise ValueError("the saved index does not cover its chunks")
-    return t["documents"], Index(t["chunks"], t["lengths"], t["terms"], t["postings"], t["stats"], IndexConfig(**m["index"])), m["config"]
+    return t["documents"], Index(t["chunks"], t["lengths"], t["terms"], t["postings"], t["vectors"], t["stats"], IndexConfig(**m["index"])), m["config"]

@@ -17,5 +17,6 @@ def stream_chunks(documents: DataFrame, target: int = 120, overlap: int = 30) ->
     check_sizes(target, overlap)
     d = documents.select(F.col("doc_id").cast("string").alias("doc_id"), tx.sentences(F.col("text")).alias("sents"))
     d = d.withColumn("spans", spans(F.transform("sents", lambda s: F.size(tx.tokens(s))), target, overlap))
-    c = d.select("doc_id", "sents", F.posexplode("spans").alias("chunk_ord", "span"))
-    return c.select("doc_id", "chunk_ord", F.concat("doc_id", F.lit("::"), F.col("chunk_ord").cast("string")).alias("chunk_id"), F.array_join(F.slice("sents", F.col("span.a") + 1, F.col("span.b") - F.col("span.a") + 1), "\n").alias("text"))
+    text = F.transform("spans", lambda s: F.array_join(F.slice("sents", s["a"] + 1, s["b"] - s["a"] + 1), "\n"))
+    c = d.select("doc_id", F.posexplode(text).alias("chunk_ord", "text"))
+    return c.select("doc_id", "chunk_ord", F.concat("doc_id", F.lit("::"), F.col("chunk_ord").cast("string")).alias("chunk_id"), "text")

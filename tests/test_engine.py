@@ -1,11 +1,13 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone import Engine, EngineConfig, ExpansionConfig, IndexConfig, IndexFormatError, ModelAnswerer, StaleIndexError, build_index, read_corpus, read_gold
 from quillstone.cli import main
+from quillstone.operators import evaluation as ev
 from quillstone.operators import expansion as ex
 from quillstone.operators import faithfulness as fa
 from quillstone.operators import metrics as me
@@ -62,6 +64,10 @@ def test_gold(spark, tmp_path):
     f = tmp_path / "gold.jsonl"
     f.write_text('{"id": "a", "question": "x", "relevant": ["d", "d"]}\n\n{"id": "b", "question": "y", "relevant": [], "difficulty": "hard"}\n')
     assert rows(read_gold(spark, str(f)).select("query_id", "difficulty"), "query_id") == [("a", "easy"), ("b", "hard")]
+    for bad in ('{"id": "a", "question": "x", "relevant": ["d"]}\n{broken', '{"question": "x", "relevant": []}', "[1]"):
+        f.write_text(bad)
+        with pytest.raises(ValueError, match="no gold question"):
+            read_gold(spark, str(f))
     (tmp_path / "none.jsonl").write_text("\n")
     with pytest.raises(ValueError):
         read_gold(spark, str(tmp_path / "none.jsonl"))
@@ -77,7 +83,7 @@ def test_bm25_by_hand(spark):
         want = {0: 2 * idf * 2 * (k1 + 1) / (2 + norm(3)), 1: idf * (k1 + 1) / (1 + norm(2))}
         got = {r.chunk_index: r.score for r in rs.bm25_scores(index, rs.as_weights(rs.query_terms(q))).collect()}
         assert got == pytest.approx(want)
-        assert len(rs.dense_scores(index, rs.as_weights(rs.query_terms(q)), q).collect()) == 3
+        assert len(rs.dense_scores(index, rs.as_weights(rs.query_terms(q))).collect()) == 3
     blank = build_index(spark.createDataFrame([(0, ""), (1, "!")], chunks.schema))
     assert blank.stats.first() == (2, 0.0) and rs.bm25_scores(blank, rs.as_weights(rs.query_terms(q))).count() == 0
     for bad in ((-1, 0.5), (1, 2)):
@@ -157,36 +163,10 @@ def test_mmr(spark, engine, questions):
     assert both and all(r["rank"] == r.mmr_rank for r in both)
 
 
-def _mmr_brute(pool, sim, k, lam):
-    lo, hi = min(s for _, s in pool), max(s for _, s in pool)
-    left, out = [(c, (s - lo) / (hi - lo) if hi > lo else 1.0) for c, s in pool], []
-    while left and len(out) < k:
-        value = [round(lam * r - (1 - lam) * max((sim.get((c, o), 0.0) for o in out), default=0.0), 10) for c, r in left]
-        out.append(left.pop(value.index(max(value)))[0])
-    return out
-
-
-def test_mmr_query_is_brute_force(spark, sf):
-    from quillstone.queries import _pool, queries, setup
-
-    s = setup(spark, sf)
-    pool = _pool(s)
-    sims = rr.pool_similarities(s.engine.index, pool).collect()
-    by, sim = {}, {}
-    for r in pool.orderBy("query_id", "pool_rank").collect():
-        by.setdefault(r.query_id, []).append((r.chunk_index, r.score))
-    for r in sims:
-        sim.setdefault(r.query_id, {})[r.a, r.b] = r.sim
-    got = {}
-    for r in queries()["mmr_topk"](spark, sf).orderBy("query_id", "mmr_rank").collect():
-        got.setdefault(r.query_id, []).append(r.chunk_index)
-    assert got == {q: _mmr_brute(p, sim.get(q, {}), 5, 0.7) for q, p in by.items()}
-
-
 def test_answers(spark, engine, questions):
     a = {r.query_id: r for r in engine.answer(questions, 3).collect()}
     assert a["q1"].citations[0] == "cats" and "purr" in a["q1"].text
-    assert a["q3"].citations == [] and a["q3"].text.startswith("No relevant passage")
+    assert a["q3"].citations == [] and a["q3"].text.startswith("Nothing in these documents")
     assert "#" not in a["q2"].text and len(a["q2"].text.split("\n")) <= 3
     assert len(set(a["q2"].text.split("\n"))) == len(a["q2"].text.split("\n"))
     with pytest.raises(RuntimeError):
@@ -237,11 +217,80 @@ def test_metrics(spark):
     assert rows(me.misses_partials(q, ranked, gold, 3), "query_id") == [("a", "partial"), ("b", "miss")]
 
 
+def test_chunks_of_a_long_document():
+    import time
+
+    from quillstone.operators.chunking import span_list
+
+    def fold(counts, target, overlap):
+        p, s, out = [0], 0, []
+        for c in counts:
+            p.append(p[-1] + c)
+        for j in range(len(counts)):
+            if j > s and p[j + 1] - p[s] > target:
+                out.append((s, j - 1, p[j] - p[s]))
+                s = next((i for i in range(s + 1, j) if p[j] - p[i] <= overlap), j - 1) if overlap else j
+        return [*out, (s, len(counts) - 1, p[-1] - p[s])] if counts else []
+
+    g = random.Random(1)
+    for _ in range(300):
+        counts = [g.choice([0, 1, 3, 8, 20, 60]) for _ in range(g.randrange(0, 40))]
+        for target, overlap in ((20, 0), (20, 5), (40, 30), (1, 0)):
+            assert span_list(counts, target, overlap) == fold(counts, target, overlap)
+    assert span_list([2, 60, 3], 20, 5) == [(0, 0, 2), (0, 1, 62), (1, 2, 63)]
+    began = time.time()
+    assert len(span_list([12] * 100_000, 120, 30)) > 10_000 and time.time() - began < 5
+
+
+def test_lists_are_those_of_all_scores(spark, engine, monkeypatch):
+    g = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(g.choices(words, k=g.randrange(0, 12)))) for i in range(300)] + [(i, "w1 w2") for i in range(300, 330)]
+    index = build_index(spark.createDataFrame(texts, "chunk_index int, text string").repartition(5))
+    q = spark.createDataFrame([(f"q{i}", " ".join(g.choices([*words, "unknown"], k=5))) for i in range(12)] + [("none", "")], "query_id string, question string")
+    terms = rs.query_terms(q)
+    w, v = rs.as_weights(terms), rs.query_vectors(index, terms)
+    order = ["query_id", "rank"]
+    want = [rows(rs.top(x, 7), *order) for x in (rs.bm25_scores(index, w), rs.vector_scores(index, v))]
+    for block, scores in ((500_000, 1 << 22), (20, 64)):
+        monkeypatch.setattr(rs, "BLOCK_TERMS", block)
+        monkeypatch.setattr(rs, "BLOCK_SCORES", scores)
+        assert [rows(x, *order) for x in rs.both_tops(index, w, v, 7)] == want
+
+
+def test_reports(spark, engine, questions):
+    gold = spark.createDataFrame([("q1", "cats"), ("q2", "sun"), ("q2", "sun2")], "query_id string, item string")
+    assert ev.parse_settings(" 5:1.0, ,3") == [("5t a1", ExpansionConfig(5, 5, 1.0)), ("3t a0.8", ExpansionConfig(5, 3, 0.8))]
+    assert ev.describe(gold).first() == (2, 1)
+    by = {(r.method, r.k): r for r in ev.method_report(engine, questions, gold, 3).collect()}
+    for m in rs.METHODS:
+        alone = me.aggregate(questions, engine.ranked_doc_ids(questions, 3, m).withColumnRenamed("doc_id", "item"), gold, (1, 3)).collect()
+        assert all(by[m, r.k][2:] == r[1:] for r in alone) and len(alone) == 2
+    settings = ev.parse_settings("4:1.0,4:0.7")
+    by = {(r.setting, r.k): r for r in ev.expansion_report(engine, questions, gold, settings, 3).collect()}
+    for n, e in settings:
+        alone = me.aggregate(questions, engine.ranked_doc_ids(questions, 3, expansion=e).withColumnRenamed("doc_id", "item"), gold, (1, 3)).collect()
+        assert all(by[n, r.k][2:] == r[1:] for r in alone)
+    by = {(r.setting, r.k): r for r in ev.diversity_report(engine, questions, gold, (None, 1.0, 0.3), 2).collect()}
+    assert by["off", 2][1:] == by["1", 2][1:] and by["0.3", 2].redundancy < by["off", 2].redundancy and by["0.3", 2].distinct_docs >= by["off", 2].distinct_docs
+    f = {r.k: r for r in ev.faithfulness_report(engine, questions, gold, (2, 3)).collect()}
+    a, found = engine.answer(questions, 3), engine.search(questions, 3)
+    one = fa.mean_report(fa.report(a, found)).first()
+    assert f[3].queries == 4 and f[3].token_grounding == one.token_grounding and f[3].cited_gold == 0.5
+    text = ev.table([{"k": 1, "hit": 0.5}, {"k": 3, "hit": 1.0}], "k", 8).split("\n")
+    assert text == ["k            hit", "----------------", "1          0.500", "3          1.000"] and ev.table([], "k") == ""
+
+
 def test_store(spark, engine, questions, corpus, tmp_path):
     path = str(tmp_path / "index")
     engine.save(path)
     engine.save(path)
     assert [p.name for p in tmp_path.iterdir()] == ["index"]
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine" / "letter.txt").write_text("dear")
+    with pytest.raises(IndexFormatError):
+        engine.save(str(tmp_path / "mine"))
+    assert (tmp_path / "mine" / "letter.txt").read_text() == "dear"
     cols = ["query_id", "rank", "chunk_id", "score"]
     back = Engine.load(spark, path, corpus)
     assert back.config == engine.config and len(back) == len(engine)
@@ -278,6 +327,9 @@ def test_cli(spark, corpus, tmp_path, capsys):
     saved = capsys.readouterr().out
     assert main(["--corpus", corpus, "--chunk-tokens", "20", "--overlap-tokens", "5", "search", "cats purr", "-k", "2"], spark) == 0
     assert capsys.readouterr().out == saved and "cats::0" in saved and "redundancy" in saved
+    assert main(["--corpus", corpus, "--rrf-k", "0", "stats"], spark) == 2
+    assert main(["--corpus", corpus, "--expand", "3", "--chunk-tokens", "20", "--overlap-tokens", "5", "index", out], spark) == 0
+    assert Engine.load(spark, out).config.expansion == ExpansionConfig(5, 3, 0.8)
     assert main(["--corpus", corpus, "--expand", "3", "ask", "why do cats purr"], spark) == 0
     assert "Sources: cats" in capsys.readouterr().out
     assert main(["--corpus", corpus, "stats"], spark) == 0
