@@ -209,7 +209,7 @@ STEPS |= {
         "rel psims",
         f"""SELECT lam, query_id, 0, []::INT[] FROM (SELECT DISTINCT query_id FROM pool) CROSS JOIN (SELECT unnest({[x for _, x in _LAMBDAS]})::DOUBLE AS lam)
 UNION ALL
-SELECT lam, query_id, step + 1, list_append(chosen, (min({{'v': -val, 'r': pool_rank, 'c': chunk_index}})).c) FROM (SELECT m.lam, m.query_id, m.step, m.chosen, p.chunk_index, p.pool_rank, round(m.lam * p.relevance - (1 - m.lam) * coalesce(max(s.sim), 0), 10) AS val FROM mmr m JOIN rel p ON p.query_id = m.query_id AND NOT list_contains(m.chosen, p.chunk_index) LEFT JOIN psims s ON s.query_id = m.query_id AND s.a = p.chunk_index AND list_contains(m.chosen, s.b) WHERE m.step < 20 GROUP BY ALL) GROUP BY lam, query_id, step, chosen""",
+SELECT lam, query_id, step + 1, list_append(chosen, (min({{'v': -val, 'r': pool_rank, 'c': chunk_index}})).c) FROM (SELECT m.lam, m.query_id, m.step, m.chosen, p.chunk_index, p.pool_rank, round(m.lam * p.relevance - (1 - m.lam) * coalesce(max(s.sim), 0), 10) AS val FROM mmr m JOIN rel p ON p.query_id = m.query_id AND NOT list_contains(m.chosen, p.chunk_index) LEFT JOIN psims s ON s.query_id = m.query_id AND s.a = p.chunk_index AND list_contains(m.chosen, s.b) WHERE m.step < 20 GROUP BY m.lam, m.query_id, m.step, m.chosen, p.chunk_index, p.pool_rank, p.relevance) GROUP BY lam, query_id, step, chosen""",
     ),
     "mmrs": ("mmr", "SELECT lam, query_id, unnest(chosen) AS chunk_index, unnest(range(1, len(chosen) + 1)) AS place FROM (SELECT * FROM mmr QUALIFY row_number() OVER (PARTITION BY lam, query_id ORDER BY step DESC) = 1)"),
     "lams": ("", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {x!r}::DOUBLE)" for n, x in _LAMBDAS) + ") t(setting, lam)"),
