@@ -340,33 +340,95 @@ def _links(sized: DataFrame, verify: _Verifier, cfg: NearDupConfig, rows: int) -
 BLOCK_BYTES, BLOCK_ROWS = 1 << 22, 1024
 
 
+#: A shingle is summed by matrix products if at least one in so many pairs of rows share it, else pair by pair.
+DENSE = 128
+#: Columns of a matrix product, pairs summed in one step, and weights of a shingle beyond which it is compared by itself.
+COLUMNS, PAIRS, LEVELS = 1024, 1 << 20, 16
+
+
+def _shared(col: np.ndarray, w: np.ndarray, row: np.ndarray, left: int, rows: int, sides: bool) -> np.ndarray:
+    """Sums of the lesser weights of all pairs of rows: the first ``left`` ones to the others if ``sides``, else all to all.
+
+    The lesser of two weights is the sum of the steps between a shingle's weights that both rows reach,
+    so a step is a column of ones and zeros, and the sums are products of such columns with themselves.
+    """
+    base = left if sides else 0
+    low = np.zeros((left, rows - base))
+    order = np.lexsort((w, col))
+    col, w, row = col[order], w[order], row[order]
+    new = np.r_[True, col[1:] != col[:-1]]
+    step = new | np.r_[True, w[1:] != w[:-1]]
+    start = np.flatnonzero(new)
+    level = np.cumsum(step) - 1
+    level -= np.repeat(level[start], np.diff(np.r_[start, len(col)]))
+    ends = np.r_[start[1:], len(col)]
+    many = level[ends - 1] >= LEVELS
+    for x, y in zip(start[many], ends[many]):
+        a, b = (np.flatnonzero(row[x:y] < left) + x, np.flatnonzero(row[x:y] >= base) + x)
+        low[np.ix_(row[a], row[b] - base)] += np.minimum.outer(w[a], w[b])
+    keep = ~np.repeat(many, ends - start)
+    size = np.where(step, w - np.where(new, 0.0, np.r_[0.0, w[:-1]]), 0.0)[step & keep]  # of each step, in order
+    number = np.cumsum(step & keep) - 1  # of an entry's last step
+    row, level, number = row[keep], level[keep], number[keep]
+    # an entry reaches its own step and all before it
+    times = level + 1
+    at = np.repeat(number - level, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    row = np.repeat(row, times)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    la, lr = (at[row < left], row[row < left]) if sides else (at, row)
+    ra, rr = (at[row >= base], row[row >= base] - base) if sides else (at, row)
+    nl, nr = np.bincount(la, minlength=len(size)), np.bincount(ra, minlength=len(size))
+    pairs = nl * nr
+    dense = pairs * DENSE >= low.size
+    dense &= pairs > (0 if sides else 1)
+    wanted = np.flatnonzero(dense)
+    place = np.full(len(size), -1)
+    place[wanted] = np.arange(len(wanted))
+    lp, rp = place[la], place[ra]  # ascend where they are not -1
+    lx, rx = np.flatnonzero(lp >= 0), np.flatnonzero(rp >= 0)
+    for c in range(0, len(wanted), COLUMNS):
+        d = min(c + COLUMNS, len(wanted))
+        own, other = np.zeros((left, d - c)), np.zeros((rows - base, d - c))
+        x = lx[np.searchsorted(lp[lx], c) : np.searchsorted(lp[lx], d)]
+        own[lr[x], lp[x] - c] = size[la[x]]
+        x = rx[np.searchsorted(rp[rx], c) : np.searchsorted(rp[rx], d)]
+        other[rr[x], rp[x] - c] = 1.0
+        low += own @ other.T
+    x = np.flatnonzero(~dense[la] & (pairs[la] > (0 if sides else 1)))
+    first, sent = np.cumsum(nr) - nr, np.cumsum(nr[la[x]])
+    flat, a = low.reshape(-1), 0
+    while a < len(x):
+        b = max(a + 1, int(np.searchsorted(sent, (sent[a - 1] if a else 0) + PAIRS, side="right")))
+        e = x[a:b]
+        n = nr[la[e]]
+        to = np.repeat(first[la[e]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        flat += np.bincount(np.repeat(lr[e] * low.shape[1], n) + rr[to], weights=np.repeat(size[la[e]], n), minlength=len(flat))
+        a = b
+    return low
+
+
 def _group_links(key: np.ndarray, w: np.ndarray, r: np.ndarray, side: np.ndarray, limit: float) -> np.ndarray:
     """Links of each row to the others if all are of side 0, else between sides 1 and 2.  ``r`` ascends."""
-    n = len(side)
+    n, sides = len(side), bool(side.any())
+    out = np.zeros(n, dtype=np.int64)
+    if not len(key):
+        return out
     total = tb.row_sums(w, r, n)
-    order = np.lexsort((total, side))
+    order = np.argsort(side, kind="stable")
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.arange(n)
-    e = np.argsort(rank[r], kind="stable")
-    at, w, first = np.unique(key, return_inverse=True)[1][e], w[e], np.searchsorted(rank[r][e], np.arange(n + 1))
-    total, left = total[order], int((side == 1).sum())
-    dense = np.zeros(int(at.max()) + 1 if len(at) else 1)
-    out = np.zeros(n, dtype=np.int64)
-    for i in range(left if side.any() else n):
-        if total[i] <= 0:
-            continue
-        # the lesser of two sums over the greater bounds the similarity, so only a run of rows can be linked
-        x = left + int(np.searchsorted(total[left:], total[i] * limit * (1 - 1e-9), side="left")) if left else i + 1
-        y = left + int(np.searchsorted(total[left:], total[i] / limit * (1 + 1e-9), side="right"))
-        if y <= x:
-            continue
-        own = slice(first[i], first[i + 1])
-        dense[at[own]] = w[own]
-        low = np.add.reduceat(np.minimum(dense[at[first[x] : first[y]]], w[first[x] : first[y]]), first[x:y] - first[x])
-        dense[at[own]] = 0.0
-        hit = low >= limit * (total[i] + total[x:y] - low)
-        out[i] += hit.sum()
-        out[x:y] += hit
+    total, left = total[order], int((side == 1).sum()) if sides else n
+    base = left if sides else 0
+    low = _shared(np.unique(key, return_inverse=True)[1], w, rank[r], left, n, sides)
+    hit = low >= limit * (total[:left, None] + total[None, base:] - low)
+    hit &= (total[:left, None] > 0) & (total[None, base:] > 0)
+    if sides:
+        out[:left] = hit.sum(axis=1)
+        out[left:] = hit.sum(axis=0)
+    else:
+        np.fill_diagonal(hit, False)
+        out[:] = hit.sum(axis=1)
     return out[rank]
 
 

@@ -740,6 +740,65 @@ def test_links_are_those_of_brute_force(spark, block, monkeypatch):
     assert want[0] == 39 and any(0 < x < 19 for x in want[70:90])
 
 
+def _plain_group_links(key, w, r, side, limit):
+    """Each text laid out over all shingles, the others merged with it entry by entry."""
+    n, at = len(side), np.unique(key, return_inverse=True)[1]
+    first, total = np.searchsorted(r, np.arange(n + 1)), np.bincount(r, w, n)
+    dense, out = np.zeros(at.max() + 1), np.zeros(n, dtype=np.int64)
+    for i in range(n):
+        own = slice(first[i], first[i + 1])
+        dense[at[own]] = w[own]
+        low = np.bincount(r, np.minimum(dense[at], w), n)
+        dense[at[own]] = 0.0
+        meet = (np.arange(n) != i) & (side != side[i] if side.any() else True)
+        out[i] = (meet & (total[i] > 0) & (total > 0) & (low >= limit * (total[i] + total - low))).sum()
+    return out
+
+
+@pytest.mark.parametrize("settings", [{}, {"DENSE": 0, "LEVELS": 1, "PAIRS": 1}, {"DENSE": 10**9, "LEVELS": 2, "COLUMNS": 1}, {"DENSE": 4, "LEVELS": 3, "COLUMNS": 7, "PAIRS": 50}])
+def test_links_of_a_group_are_those_of_plain_merging(settings, monkeypatch):
+    for name, value in settings.items():
+        monkeypatch.setattr(neardup, name, value)
+    cfg, g = neardup.NearDupConfig(), random.Random(14)
+    df = np.zeros(1 << cfg.df_bits, dtype=np.int32)
+    for trial in range(60):
+        base = [g.choice("abcdefgh"[: g.randint(1, 8)]) for _ in range(g.randint(1, 100))]
+        texts = ["" if g.random() < 0.05 else x if g.random() < 0.8 else f"{x} " * g.randint(2, 30) for x in _edited(g, base, g.randint(1, 30), g.randint(0, len(base) // 2))]
+        *_, key, r, tf = neardup._vectors(pa.array(texts), cfg)
+        if not len(key):
+            continue
+        w = neardup._weights(key, tf, df, 1000, cfg)
+        for side in (np.zeros(len(texts), dtype=int), np.array([g.choice([1, 2]) for _ in texts])):
+            assert (neardup._group_links(key, w, r, side, cfg.threshold - 1e-9) == _plain_group_links(key, w, r, side, cfg.threshold - 1e-9)).all(), (trial, texts, side)
+
+
+def test_links_of_a_large_class_do_not_merge_every_pair(monkeypatch):
+    # entries laid out pair by pair are counted: merging each pair of the 1,200 near copies takes 143 million
+    cfg, g, merged = neardup.NearDupConfig(), random.Random(15), 0
+    texts = _edited(g, [f"w{g.randrange(10**6)}" for _ in range(200)], 1200, 8)
+    *_, key, r, tf = neardup._vectors(pa.array(texts), cfg)
+    w = neardup._weights(key, tf, np.zeros(1 << cfg.df_bits, dtype=np.int32), 10**6, cfg)
+
+    class Counted:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def minimum(self, a, b):
+            nonlocal merged
+            merged += np.size(a)
+            return np.minimum(a, b)
+
+        def bincount(self, x, *args, **kwargs):
+            nonlocal merged
+            merged += len(x)
+            return np.bincount(x, *args, **kwargs)
+
+    monkeypatch.setattr(neardup, "np", Counted())
+    got = neardup._group_links(key, w, r, np.zeros(1200, dtype=int), cfg.threshold - 1e-9)
+    assert (got == 1199).all()
+    assert merged < 20_000_000, merged
+
+
 def test_links_do_not_depend_on_unrelated_rows(spark, monkeypatch):
     # equal weights for all shingles: the frequencies of a larger corpus would move similarities as well
     monkeypatch.setattr(neardup, "shingle_df", lambda docs, text, cfg: (np.zeros(1 << cfg.df_bits, dtype=np.int32), docs.count()))
