@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.plans.materialize import materialize
+from quillstone.plans.spread import few
 
 from . import answer as answers
 from . import faithfulness as fa
@@ -61,8 +62,8 @@ def _all(df: DataFrame, names: Sequence[str], label: str | None = None) -> DataF
 
 def _documents(engine, pool: DataFrame, k: int, rank: str) -> DataFrame:
     """``(query_id, item, rank)``: the first k documents among the best 4k chunks of a pool."""
-    best = pool.where(F.col(rank) <= 4 * k).select("query_id", "chunk_index", F.col(rank).alias("rank"))
-    found = best.join(engine.index.chunks.select("chunk_index", "doc_id"), "chunk_index")
+    best = materialize(pool.where(F.col(rank) <= 4 * k).select("query_id", "chunk_index", F.col(rank).alias("rank")))
+    found = few(best).join(engine.index.chunks.select("chunk_index", "doc_id"), "chunk_index")
     return rs.ranked_docs(found, k).withColumnRenamed("doc_id", "item")
 
 
@@ -119,7 +120,7 @@ def diversity_report(engine, queries: DataFrame, gold: DataFrame, lambdas: Seque
     first = order.where(F.col("place") <= k)
     q = _all(queries.select("query_id"), names, "setting")
     same = rr.mean_pairwise_similarity(first, _all(sims, names))
-    distinct = first.join(engine.index.chunks.select("chunk_index", "doc_id"), "chunk_index").groupBy("query_id").agg(F.countDistinct("doc_id").alias("docs"))
+    distinct = few(first).join(engine.index.chunks.select("chunk_index", "doc_id"), "chunk_index").groupBy("query_id").agg(F.countDistinct("doc_id").alias("docs"))
     z = lambda c, name: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 6).alias(name)
     spread = q.join(same, "query_id", "left").join(distinct, "query_id", "left").groupBy("setting").agg(z("redundancy", "redundancy"), z(F.col("docs").cast("double"), "distinct_docs"))
     ranked = materialize(_documents(engine, order, k, "place"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone import Engine, EngineConfig, build_index
+from quillstone import Engine, EngineConfig, build_index, queries
 from quillstone.functions import text as tx
 from quillstone.functions import words
 from quillstone.operators import index as ix
@@ -94,3 +94,12 @@ def test_totals_are_those_of_all_scores(spark):
     scores = rs.bm25_scores(index, w).collect()
     got = {r.query_id: (r.chunks, r.total, r.best) for r in rs.bm25_totals(index, w).collect()}
     assert got == {q: (len(s), pytest.approx(math.fsum(s)), max(s)) for q in {r.query_id for r in scores} for s in [[r.score for r in scores if r.query_id == q]]} and set(got) == {"x", "y"}
+
+
+def test_gold_is_made_on_demand_from_chunks(spark, sf):
+    s = queries.Setup(Engine(queries.documents(spark, sf)), queries.questions(spark, sf))
+    s.engine.search(s.queries, 2)
+    assert "gold" not in vars(s)
+    d = {r.doc_id: set(r.s) for r in queries.documents(spark, sf).select("doc_id", tx.sentences(F.col("text")).alias("s")).collect()}
+    q = s.queries.select("query_id", F.filter(tx.sentences(F.col("question")), lambda x: F.size(tx.tokens(x)) > 3).alias("s")).collect()
+    assert {tuple(r) for r in s.gold.collect()} == {(r.query_id, i) for r in q for i, own in d.items() if own & set(r.s)}
