@@ -39,6 +39,18 @@ def test_tokens_cut_on_bytes_are_those_of_the_expression(spark, monkeypatch):
     assert len(list(words.pieces(b, 0))) > 20 and [x for p in words.pieces(b, 0) for x in p.column(0).to_pylist()] == b.column(0).to_pylist()
 
 
+def test_sentences_are_those_of_the_full_steps(spark):
+    """Paragraphs are not stripped before they are split, and single spaces not replaced by themselves."""
+    g = random.Random(6)
+    texts = ["".join(g.choices(["A", "b", "9", ".", "! ", " ", "  ", "\t", "\n", "\n\n", "\u3000", "\x85", "\r\n", "# H\n", '"', "—", "\x1c", " \x1f"], k=g.randrange(25))) for _ in range(1500)]
+    squeeze = lambda s: tx.strip(F.regexp_replace(s, f"[{tx.WS}]+", " "))
+    alone = F.regexp_replace(tx.normalize(F.col("x")), f"(?md)^{tx.HEADING}$", "\n\n$0\n\n")
+    parts = F.transform(F.split(alone, tx.PARAGRAPH), lambda p: F.split(tx.strip(p), tx.BOUNDARY))
+    full = F.filter(F.transform(F.flatten(parts), squeeze), lambda s: s != "")
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", tx.sentences(F.col("x")).alias("got"), full.alias("want")).collect()
+    assert [(r.x, r.got) for r in rows] == [(r.x, r.want) for r in rows] and sum(len(r.got) for r in rows) > 1500
+
+
 def test_building_writes_little_more_than_the_texts(spark, sf):
     path = f"{sf}/documents.parquet"
     mt.clear(spark)
@@ -103,3 +115,13 @@ def test_gold_is_made_on_demand_from_chunks(spark, sf):
     d = {r.doc_id: set(r.s) for r in queries.documents(spark, sf).select("doc_id", tx.sentences(F.col("text")).alias("s")).collect()}
     q = s.queries.select("query_id", F.filter(tx.sentences(F.col("question")), lambda x: F.size(tx.tokens(x)) > 3).alias("s")).collect()
     assert {tuple(r) for r in s.gold.collect()} == {(r.query_id, i) for r in q for i, own in d.items() if own & set(r.s)}
+
+
+def test_saving_takes_little_more_than_the_texts(spark, sf, tmp_path):
+    path = f"{sf}/documents.parquet"
+    e = Engine(spark.read.parquet(path).select(F.col("doc_id").cast("string").alias("doc_id"), "text"), EngineConfig())
+    e.save(str(tmp_path / "saved"))
+    assert size(tmp_path / "saved") < 2.5 * size(path)
+    back = Engine.load(spark, str(tmp_path / "saved"))
+    order = ["chunk_index", "term"]
+    assert back.index.postings.orderBy(*order).collect() == e.index.postings.orderBy(*order).collect()
